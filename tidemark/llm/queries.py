@@ -8,9 +8,12 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
+    "op1_quality_scores": "quality",
     "op2_token_files": "token_files",
     "op5_token_counts": "token_counts",
+    "op6_ball_tree_top_k": "topk",
     "op9_mix_sources": "mixing",
+    "op10_chat_windows": "chat",
 }
 
 
@@ -19,6 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import mixing, topk
 
-    return {"op9_mix_sources": mixing.ORACLE_SQL}
+    return {"op6_ball_tree_top_k": topk.ORACLE_SQL, "op9_mix_sources": mixing.ORACLE_SQL}
