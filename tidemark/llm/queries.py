@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_quality_scores": "quality",
     "op2_token_files": "token_files",
+    "op3_near_duplicates": "near",
     "op5_token_counts": "token_counts",
     "op6_ball_tree_top_k": "topk",
     "op9_mix_sources": "mixing",
