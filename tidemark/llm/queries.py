@@ -13,6 +13,7 @@ _QUERIES = {
     "op3_near_duplicates": "near",
     "op5_token_counts": "token_counts",
     "op6_ball_tree_top_k": "topk",
+    "op7_contaminated": "decontaminate",
     "op9_mix_sources": "mixing",
     "op10_chat_windows": "chat",
 }
