@@ -11,6 +11,7 @@ _QUERIES = {
     "op1_quality_scores": "quality",
     "op2_token_files": "token_files",
     "op3_near_duplicates": "near",
+    "op4_languages": "language",
     "op5_token_counts": "token_counts",
     "op6_ball_tree_top_k": "topk",
     "op7_contaminated": "decontaminate",
