@@ -15,6 +15,7 @@ _QUERIES = {
     "op5_token_counts": "token_counts",
     "op6_ball_tree_top_k": "topk",
     "op7_contaminated": "decontaminate",
+    "op8_main_text": "html",
     "op9_mix_sources": "mixing",
     "op10_chat_windows": "chat",
 }
