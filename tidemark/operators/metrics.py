@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ERROR = F.col("f") - F.col("y")
+
+def error() -> Column:
+    return F.col("f") - F.col("y")
 
 
 def rmse() -> Column:
-    return F.sqrt(F.avg(ERROR * ERROR))
+    return F.sqrt(F.avg(error() * error()))
 
 
 def mape() -> Column:
-    return F.avg(F.abs(ERROR) / (F.abs("y") + 1e-5))
+    return F.avg(F.abs(error()) / (F.abs("y") + 1e-5))
 
 
 def score(df: DataFrame, metric: Column, by: Sequence[str], name: str) -> DataFrame:
@@ -29,19 +31,23 @@ def nmae(df: DataFrame, by: Sequence[str], *, row: Sequence[str] = ("ts",), inte
         sizes = sizes.crossJoin(F.broadcast(sizes.agg((0.01 * F.percentile("size", F.lit(0.5)) + 1e-12).alias("off"))))  # one row
     else:
         sizes = sizes.withColumn("off", F.lit(1e-12))
-    return df.join(sizes, list(row)).groupBy(*by).agg(F.avg(F.abs(ERROR) / (F.col("size") + F.col("off"))).alias("nmae"))
+    return df.join(sizes, list(row)).groupBy(*by).agg(F.avg(F.abs(error()) / (F.col("size") + F.col("off"))).alias("nmae"))
+
+
+def _excess() -> Column:
+    return F.col("q") - F.col("y")
 
 
-_E = F.col("q") - F.col("y")
-_I = F.when(_E > 0, 1.0).when(_E <= 0, 0.0)
+def _below() -> Column:
+    return F.when(_excess() > 0, 1.0).when(_excess() <= 0, 0.0)
 
 
 def pinball() -> Column:
-    return F.avg((_I - F.col("alpha")) * _E)
+    return F.avg((_below() - F.col("alpha")) * _excess())
 
 
 def reliability(*, minus_alpha: bool = False) -> Column:
-    return F.avg(_I - F.col("alpha")) if minus_alpha else F.avg(_I)
+    return F.avg(_below() - F.col("alpha")) if minus_alpha else F.avg(_below())
 
 
 def crps(df: DataFrame, by: Sequence[str]) -> DataFrame:
