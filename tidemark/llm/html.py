@@ -30,7 +30,7 @@ ARTICLE = ("article", "main")
 OUTSIDE = frozenset("nav footer aside form button dialog menu head".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|sponsor|sponsored|promo|sidebar|side-bar|nav|navbar|menu|breadcrumbs?|footer|cookies?|consent|notice|banner|popup|modal|newsletter|subscribe|signup|social|share|sharing|related|recommended|comments?|respond|disqus|pagination|pager|masthead|topbar|skip)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|(?P<text>[^<]+|<)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|</?[a-zA-Z][^>]*\Z|(?P<text>[^<]+|<)""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Parts into which a host's distinct streams are dealt before its wrapper is put together.
 SALTS = 16
@@ -63,8 +63,6 @@ def blocks(page: str | None):
     at, page = 0, page or ""
     while at < len(page):
         m = _TOKEN.match(page, at)
-        if m is None:  # an open tag without an end: the rest is markup
-            break
         at = m.end()
         if m["text"] is not None:
             said.append(m["text"])
