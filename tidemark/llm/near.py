@@ -8,9 +8,9 @@ with great likelihood are never drawn (and the limit is doubled where one is sti
 each run and about m ln m points instead of m hashes for each run.
 
 Texts of one multiset are one class. Classes that share a band form a bucket; every member is verified against the
-bucket's smallest class, which settles copies in any number with one pair each. Buckets that still hold several
-components are compared by signature in blocks of bounded size, and pairs that could reach the threshold are
-verified. Links make components; the smallest document of a component stands for it.
+bucket's best connected class, which settles most copies, in any number, with one pair each. Buckets that still hold
+several components are compared exactly, all members with all, in pairs of blocks of bounded size; only links leave a
+task. Links make components; the smallest document of a component stands for it.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^5)^28 = 1.5e-5.
 BANDS, ROWS = 28, 5
 SIZE = BANDS * ROWS
-#: Pairs whose signatures agree in a smaller share aren't verified: 4 standard deviations below the threshold.
-LIKELY = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SIZE) ** 0.5
-BLOCK = 512
+#: Members that one task compares with each other, and with one centre; groups of any size are dealt to as many tasks as they need.
+BLOCK, STAR = 256, 1024
+#: Ids beyond this are joined by Spark's own choice instead of a broadcast.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +91,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = SIZE) -> np.n
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, cls (128 bits of the multiset; null if the text has no word), bands, and a byte of each component."""
+    """doc_id, cls (128 bits of the multiset; null if the text has no word), and bands."""
 
     def sign(batches):
         for batch in batches:
@@ -99,67 +100,119 @@ def _signed(docs: DataFrame) -> DataFrame:
                 sets = [multiset(t) if t else (np.zeros(0, "u8"), np.zeros(0, "i8")) for t in part.column(1).to_pylist()]
                 bits = signatures(sets).view("u8")
                 keys = words.mix((words.mix(bits).reshape(len(sets), BANDS, ROWS) * words._PRIMES[:ROWS]).sum(2, dtype="u8")).view("i8")
-                byte = (words.mix(bits) >> np.uint64(56)).astype("u1")
                 full = [len(u) > 0 for u, _ in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([xxhash.xxh3_128_digest(u.tobytes() + c.tobytes()) if f else None for (u, c), f in zip(sets, full, strict=True)], pa.binary()), pa.array([k.tolist() if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())), pa.array([b.tobytes() if f else None for b, f in zip(byte, full, strict=True)], pa.binary())],
-                    ["doc_id", "cls", "bands", "bytes"],
+                    [part.column(0), pa.array([xxhash.xxh3_128_digest(u.tobytes() + c.tobytes()) if f else None for (u, c), f in zip(sets, full, strict=True)], pa.binary()), pa.array([k.tolist() if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64()))],
+                    ["doc_id", "cls", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, cls binary, bands array<long>, bytes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, cls binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) of document ids those whose whole texts reach the threshold, with their similarity."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi"), "pair-texts")
-    sides = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def _with_text(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """ids, which has a doc_id, and the documents' whole texts."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("whole_text"))
+    return own.join(common.small(ids, MAX_BROADCAST_IDS), "doc_id")
 
-    def verify(batches):
-        last, held = None, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                a, b, same = part.column(0).to_pylist(), part.column(1).to_pylist(), []
-                for text_a, text_b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if last != text_a:
-                        last, held = text_a, multiset(text_a or "")
-                    same.append(weighted_jaccard(held, multiset(text_b or "")))
-                ok = [s >= THRESHOLD for s in same]
-                pick = lambda x, ok=ok: [v for v, o in zip(x, ok, strict=True) if o]
-                yield pa.RecordBatch.from_arrays([pa.array(pick(a), pa.int64()), pa.array(pick(b), pa.int64()), pa.array(pick(same), pa.float64())], ["a", "b", "similarity"])
 
-    return sides.mapInArrow(verify, "a long, b long, similarity double")
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the written, distinct pairs (centre a, member b) those whose whole texts reach the threshold, with their similarity.
 
+    A centre's text comes first, then its members'; a centre of many has its members dealt to salts, each with the centre's text. So every
+    text is shuffled once.
+    """
+    sizes = common.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), "centres")
+    members = _with_text(pairs.select(F.col("b").alias("doc_id"), "a"), docs)
+    members = members.join(common.small(sizes, MAX_BROADCAST_IDS), "a").select("a", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "whole_text")
+    centres = _with_text(sizes.select(F.col("a").alias("doc_id"), "salts"), docs)
+    centres = centres.select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "whole_text")
+    dealt = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
 
-def _likely_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components of one bucket whose signatures may reach the threshold.
+    def verify(batches):
+        key, held = None, []
+        for batch in batches:
+            out: list = [[], [], []]
+            for a, salt, kind, b, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (a, salt) != key:
+                    key, held = (a, salt), []
+                own = multiset(text or "")
+                if not kind:
+                    held.append(own)
+                elif (same := max((weighted_jaccard(h, own) for h in held), default=0.0)) >= THRESHOLD:
+                    for col, v in zip(out, (a, b, same), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+
+    return dealt.mapInArrow(verify, "a long, b long, similarity double")
+
+
+def all_similar(left: list, right: list) -> np.ndarray:
+    """Weighted Jaccard similarities of all multisets of one list with all of another: exact, by products of incidence matrices.
+
+    The k-th copy of a run counts as an element of its own, so that shared elements number the sum of the smaller counts. Elements
+    of a single multiset can't be shared and are left out.
+    """
 
-    members: (band, key, rep, bytes, component). A bucket is cut into blocks of about BLOCK members by a hash; each pair of
-    blocks is one group, so that no task holds more than two blocks of a bucket, whatever its size.
+    def elements(sets):
+        ids, rows = [], []
+        for row, (u, c) in enumerate(sets):
+            copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            ids.append(words.mix(np.repeat(u, c) + copy.astype("u8") * np.uint64(0x9E3779B97F4A7C15)))
+            rows.append(np.full(len(copy), row))
+        return (np.concatenate(x) for x in (ids, rows))
+
+    (a, at), (b, bt) = elements(left), elements(right)
+    shared = np.intersect1d(a, b)
+    total = np.zeros((len(left), len(right)), "f4")
+    ka, kb = np.isin(a, shared), np.isin(b, shared)
+    ca, cb, at, bt = np.searchsorted(shared, a[ka]), np.searchsorted(shared, b[kb]), at[ka], bt[kb]
+    for lo in range(0, len(shared), 8192):
+        x, y = np.zeros((len(left), 8192), "f4"), np.zeros((len(right), 8192), "f4")
+        own, other = (ca >= lo) & (ca < lo + 8192), (cb >= lo) & (cb < lo + 8192)
+        x[at[own], ca[own] - lo] = 1
+        y[bt[other], cb[other] - lo] = 1
+        total += x @ y.T
+    n, m = (np.array([c.sum() for _, c in sets], "f8") for sets in (left, right))
+    return total / (n[:, None] + m[None] - total)
+
+
+def _links_between(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of one group of buckets; of the links between two components within two blocks, one.
+
+    members: (grp, doc_id, component). A group is cut into blocks of about BLOCK members by a hash, and each pair of blocks is compared
+    in a task of its own, so that no task holds more than two blocks, whatever the group's size, and no pair but a link leaves it.
     """
-    counts = members.groupBy("band", "key").agg(F.count("*").alias("n")).select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(counts, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    counts = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = common.written(members.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = cut.select("band", "key", "rep", "bytes", "component", "block", other).select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "bytes", "component")
+    sent = _with_text(cut, docs).select("grp", "doc_id", "whole_text", "component", "block", other).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "whole_text", "component")
 
     def compare(key, table):
-        i, j = key[2].as_py(), key[3].as_py()
-        rep, comp, block = (np.asarray(table.column(c)) for c in ("rep", "component", "block"))
-        sig = np.frombuffer(b"".join(table.column("bytes").to_pylist()), "u1").reshape(len(rep), SIZE)
+        i, j = key[1].as_py(), key[2].as_py()
+        ids, comp, block = (np.asarray(table.column(c)) for c in ("doc_id", "component", "block"))
+        found: list = [[], []]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            same = (sig[rows, None, :] == sig[None, right, :]).sum(2)
-            # 1 byte in 256 agrees by chance; that only lets more pairs through
-            x, y = np.nonzero((same >= LIKELY * SIZE) & (comp[rows, None] != comp[None, right]))
-            found_a.append(rep[rows[x]])
-            found_b.append(rep[right[y]])
-        a, b = (np.concatenate(f) if f else np.zeros(0, "i8") for f in (found_a, found_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        if len(left) and len(right) and len(np.unique(comp)) > 1:
+            texts = table.column("whole_text").to_pylist()
+            sets = {int(k): multiset(texts[k] or "") for k in np.union1d(left, right)}
+            same = all_similar([sets[int(k)] for k in left], [sets[int(k)] for k in right])
+            x, y = np.nonzero((same >= THRESHOLD - 1e-6) & (comp[left][:, None] != comp[right][None]))
+            above: dict = {}
+
+            def root(c):
+                while above.get(c, c) != c:
+                    c = above[c]
+                return c
+
+            for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
+                u, v = root(int(comp[p])), root(int(comp[q]))
+                if u != v and weighted_jaccard(sets[p], sets[q]) >= THRESHOLD:
+                    above[max(u, v)] = min(u, v)
+                    found[0].append(min(int(ids[p]), int(ids[q])))
+                    found[1].append(max(int(ids[p]), int(ids[q])))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-    return sent.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return sent.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -172,22 +225,29 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     signed = common.written(_signed(docs), "signed")
     known = signed.filter("cls is not null and doc_id is not null")
-    classes = common.written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "classes")
+    classes = common.written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    centres = banded.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre <> other").drop("other")
-    buckets = common.written(banded.join(centres, ["band", "key"]), "buckets")
-    pairs = common.written(buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    buckets = common.written(banded.join(shared.select("band", "key", "n"), ["band", "key"]), "buckets")
+    # the member that meets most others: among copies edited from one text, the one that was edited least
+    meets = buckets.groupBy("rep").agg(F.sum("n").alias("meets"))
+    ranked = common.written(buckets.join(meets, "rep"), "ranked")
+    most = F.max(F.struct("meets", (-F.col("rep")).alias("rep")))
+    centres = ranked.groupBy("band", "key").agg(most.alias("most")).select("band", "key", (-F.col("most.rep")).alias("centre"))
+    pairs = common.written(ranked.join(centres, ["band", "key"]).filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     # rows of one doc_id with other texts are one document
     again = known.select("doc_id", "cls").distinct().join(classes.select("cls", "rep"), "cls").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = common.written(_verified(pairs, docs).select("a", "b").unionByName(again), "links")
     labels = components(links)
     labelled = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = common.written(labelled, "labelled")
-    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band", "key")
-    members = labelled.join(mixed, ["band", "key"], "left_semi").join(classes.select("rep", "bytes"), "rep")
-    more = common.written(_likely_pairs(members).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if more.limit(1).count():
-        links = common.written(links.unionByName(_verified(more, docs).select("a", "b")), "links")
+    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("rep").alias("first")).filter("lo <> hi and n > 2").select("band", "key", "first")
+    within = common.written(labelled.join(mixed, ["band", "key"]).select("first", "rep", "component").distinct(), "mixed")
+    if within.limit(1).count():
+        # buckets that share members are one group: a member is then compared once, not once for each of its bands
+        grouped = components(within.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+        members = within.select("rep", "component").distinct().join(grouped.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep").select("grp", F.col("rep").alias("doc_id"), "component")
+        links = common.written(links.unionByName(_links_between(members, docs)), "links")
         labels = components(links)
     named = signed.join(classes.select("cls", F.col("rep").alias("class_id")), "cls", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     grouped = named.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
