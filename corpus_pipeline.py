@@ -15,7 +15,8 @@ TOKENIZER = "byte_bpe_50k.json"
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labels of these documents, doesn't reject."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    name = "_".join(["score", *docs.columns])  # no column of the table's own
+    return quality.score(docs, model, name).filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
     out = None
-    n_docs = thin.count() if blocks else 0
+    n_docs = docs.count() if blocks else 0
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # BLOCK_CHARS or so
         found = _block(thin, n_docs, Items([(r.item_id, r.text) for r in rows]))

@@ -138,10 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents as they are, and quality_score of every whole text; null and empty texts are scored too.
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """The documents as they are, and column ``name`` of every whole text; null and empty texts are scored too.
     A column of this name that the table already has is replaced."""
-    cols = [c for c in docs.columns if c != "quality_score"]
+    cols = [c for c in docs.columns if c != name]
     text = cols.index("text")
 
     def scored(batches):
@@ -149,12 +149,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = np.array([statistics(t) for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], [*cols, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], [*cols, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
     thin = docs.select(*cols)
-    return thin.mapInArrow(scored, StructType([*thin.schema.fields]).add("quality_score", DoubleType()))
+    return thin.mapInArrow(scored, StructType([*thin.schema.fields]).add(name, DoubleType()))
 
 
 THRESHOLD = 0.3
