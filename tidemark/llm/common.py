@@ -54,6 +54,21 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols)
 
 
+def parts(batch, text: int, rows: int = 256, size: int = 8_000_000):
+    """Slices of an Arrow batch of at most so many rows, and bytes of text unless a single text has more: what a worker works on at a time
+    is bounded, however long the texts are."""
+    import pyarrow.compute as pc
+
+    start, total = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().tolist()):
+        if i > start and (i - start >= rows or total + n > size):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 # -- files beside Spark's own ---------------------------------------------------------------------
 
 

@@ -193,8 +193,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def described(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in common.parts(batch, 1):
                 hosts, streams, slots = [], [], []
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     said: dict[str, list[str]] = {}
@@ -244,8 +243,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def texts(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in common.parts(batch, 2):
                 out = [main_text(p, a or [], t or []) for p, a, t in zip(*[part.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -219,8 +219,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         emissions = Emissions(m)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in common.parts(batch, 1):
                 docs_words = [words_of(t) if m.langs else [] for t in part.column(1).to_pylist()]
                 lengths = np.array([len(w) for w in docs_words])
                 full = np.flatnonzero(lengths)

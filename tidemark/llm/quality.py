@@ -146,8 +146,7 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
 
     def scored(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in common.parts(batch, text):
                 x = np.array([statistics(t) for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], [*cols, name])
 

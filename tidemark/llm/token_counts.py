@@ -94,8 +94,7 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, id_col: str
     def counted(batches):
         c = counter(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in common.parts(batch, 1, rows=512):
                 texts = part.column(1).to_pylist()
                 n = c.count(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
