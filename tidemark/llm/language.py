@@ -30,6 +30,7 @@ BUCKETS, CHUNK, FRAGMENT, EPOCHS, RATE, SEED = 1 << 16, 64, 40, 3, 0.3, 11
 LEXICON = 20_000
 #: Distinct words whose emissions one worker remembers; beyond, it starts anew.
 REMEMBERED = 400_000
+_HELD: dict = {}
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -217,7 +218,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches):
         m = held.value
-        emissions = Emissions(m)
+        if _HELD.get("model") is not m:  # a worker serves many tasks
+            _HELD.update(model=m, emissions=Emissions(m))
+        emissions = _HELD["emissions"]
         for batch in batches:
             for part in common.parts(batch, 1):
                 docs_words = [words_of(t) if m.langs else [] for t in part.column(1).to_pylist()]
