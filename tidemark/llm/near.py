@@ -95,8 +95,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in common.parts(batch, 1):
                 sets = [multiset(t) if t else (np.zeros(0, "u8"), np.zeros(0, "i8")) for t in part.column(1).to_pylist()]
                 bits = signatures(sets).view("u8")
                 keys = words.mix((words.mix(bits).reshape(len(sets), BANDS, ROWS) * words._PRIMES[:ROWS]).sum(2, dtype="u8")).view("i8")
@@ -241,12 +240,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labels = components(links)
     labelled = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = common.written(labelled, "labelled")
-    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("rep").alias("first")).filter("lo <> hi and n > 2").select("band", "key", "first")
+    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band", "key", F.col("lo").alias("first"))
     within = common.written(labelled.join(mixed, ["band", "key"]).select("first", "rep", "component").distinct(), "mixed")
     if within.limit(1).count():
-        # buckets that share members are one group: a member is then compared once, not once for each of its bands
-        grouped = components(within.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-        members = within.select("rep", "component").distinct().join(grouped.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep").select("grp", F.col("rep").alias("doc_id"), "component")
+        # buckets that share components are one group: a member is then compared once, not once for each of its bands
+        grouped = components(within.select(F.col("first").alias("a"), F.col("component").alias("b")).distinct())
+        named = grouped.select(F.col("node").alias("component"), F.col("component").alias("grp"))
+        members = within.select("rep", "component").distinct().join(named, "component").select("grp", F.col("rep").alias("doc_id"), "component")
         links = common.written(links.unionByName(_links_between(members, docs)), "links")
         labels = components(links)
     named = signed.join(classes.select("cls", F.col("rep").alias("class_id")), "cls", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
