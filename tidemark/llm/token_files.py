@@ -22,13 +22,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Distinct words that one worker remembers; beyond, it starts anew. Bounds memory, never results.
-REMEMBERED = 800_000
+REMEMBERED = 900_000
 _ENDING = re.compile(r"(?s)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)\Z")
 _ENCODERS: dict = {}
 
@@ -54,6 +55,7 @@ class WordEncoder:
         self.by_word = not pre.get("normalizer") and (pre.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not (pre["pre_tokenizer"].get("add_prefix_space")) and not any(" " in s for s in self.special)
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.end_of_line = np.array(line, self.dtype).tobytes()
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -61,9 +63,7 @@ class WordEncoder:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
-        """A word's own certain cuts: around single line ends, and before punctuation after plain letters."""
-        if "\n" in word and not re.search(r"\s\s|^\s*\n|\n\s*$", word):
-            return tuple(x for line in word.split("\n") for x in ("\n", *WordEncoder._parts(line)))[1:]
+        """A word is cut before punctuation after plain letters."""
         m = _ENDING.match(word)
         return m.groups() if m else (word,)
 
@@ -81,43 +81,60 @@ class WordEncoder:
         ends = (cut * width).tolist()
         return [raw[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(raw)], strict=True)]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        """Words not met before: put together from their certain parts, and the parts encoded, many at a time.
+
+        A word is known by what it is and what stands before it: a space, a line end (its first character), or nothing (HEAD).
+        """
         known = self.known
-        split = {w: self._parts(w) for w in words}
-        new = list({p for parts in split.values() for p in parts if p not in known})
+        split = {w: ("\n", *self._parts(w[1:])) if w[0] == "\n" else self._parts(w[1:]) if w[0] == HEAD else self._parts(" " + w) for w in words}
+        name = lambda p: p[1:] if p[0] == " " else p if p[0] == "\n" else HEAD + p
+        new = list({p for own in split.values() for p in own if p != "\n" and name(p) not in known})
         plain = [p for p in new if p.strip() and "\n" not in p]
         rest = list({*new}.difference(plain))
         if rest:
-            known.update(zip(rest, self._library(rest), strict=True))
+            known.update(zip(map(name, rest), self._library(rest), strict=True))
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
-            known.update(zip(some, self._lines(some), strict=True))
-        known.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items() if len(parts) > 1)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as bytes, one for each text."""
-        out: list = [b""] * len(texts)
-        whole, cut = [], {}
-        for i, text in enumerate(texts):
-            if text:
-                if not self.by_word or "\x00" in text or text[0].isspace() or text[-1].isspace() or _ODD.search(text):
-                    whole.append(i)
-                else:
-                    cut[i] = text.replace(" ", "\x00 ").split("\x00")
-        known = self.known
-        self._learn({w for words in cut.values() for w in words if w not in known})
-        for i, words in cut.items():
-            out[i] = b"".join([known[w] for w in words])
-        if len(known) > REMEMBERED:
-            known.clear()
+            known.update(zip(map(name, some), self._lines(some), strict=True))
+        line = self.end_of_line
+        known.update((w, b"".join([line if p == "\n" else known[name(p)] for p in own])) for w, own in split.items() if len(own) > 1)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids as bytes, one for each text. Words are told apart by Arrow's dictionaries; Python sees each distinct one once a call."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        said = texts.to_numpy(zero_copy_only=False).tolist()
+        out: list = [b""] * len(said)
+        plain = [bool(t) and self.by_word and _plain(t) for t in said]
+        cut = [i for i, p in enumerate(plain) if p]
+        whole = [i for i, p in enumerate(plain) if said[i] and not p]
+        if cut:
+            own = texts if len(cut) == len(said) else texts.filter(pa.array(plain))
+            lists = pc.split_pattern(pc.binary_join_element_wise(HEAD, pc.replace_substring(own, "\n", " \n"), ""), " ")
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self._learn([w for w in distinct if w not in self.known])
+            ids = list(map(self.known.__getitem__, distinct))
+            at, bounds = coded.indices.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+            for k, i in enumerate(cut):
+                out[i] = b"".join(map(ids.__getitem__, at[bounds[k] : bounds[k + 1]]))
         if whole:
-            for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            for i, ids in zip(whole, self._library([said[i] for i in whole]), strict=True):
                 out[i] = ids
         return out
 
 
-#: White space other than a lone space or a lone line end between other characters.
-_ODD = re.compile(r"[^\S \n]|\s\s")
+#: Stands before a text's first word; texts that have it themselves are encoded whole.
+HEAD = "\x01"
+#: White space other than the space and the line end, by code point.
+_SPACES = ("\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+
+
+def _plain(text: str) -> bool:
+    """No white space but lone spaces and lone line ends between other characters."""
+    return not (HEAD in text or text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(map(text.__contains__, _SPACES)))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -149,8 +166,8 @@ def write(docs: DataFrame, uri: str, tokenizer: str, *, end_id: int = 0, id_col:
                 key = batch.column(0)
                 keys.append(np.asarray(key.fill_null(0), "<i8"))
                 nulls.append(np.asarray(key.is_null()).astype("u1"))
-                for at in range(0, batch.num_rows, 256):
-                    found = enc.encode(batch.column(1).slice(at, 256).to_pylist())
+                for part in common.parts(batch, 1, rows=2048):
+                    found = enc.encode(part.column(1))
                     lengths.extend(len(x) // enc.dtype.itemsize + 1 for x in found)
                     yield end.join(found) + end
 
