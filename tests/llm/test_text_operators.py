@@ -244,6 +244,39 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def _edited(item, rnd, fresh):
+    """A copy with a quarter of the words replaced."""
+    gone = set(rnd.sample(range(len(item)), len(item) // 4))
+    return [fresh(1)[0] if i in gone else w for i, w in enumerate(item)]
+
+
+@pytest.mark.parametrize("n", [10, 300])
+def test_edited_copies_in_a_third_of_documents(spark, n):
+    """None of an item's seeds is rare then, and most of those that are occur by chance."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"{rnd.choice('bcdfg')}{rnd.randrange(900)}" for _ in range(n)]
+    item = fresh(40)
+    copy = _edited(item, rnd, fresh)
+    seeds = [item[i : i + 3] for i in range(38)]
+    lost = [s for s in seeds if " ".join(s) not in " ".join(copy)]
+    assert len(lost) > len(seeds) / 2
+    texts = [" ".join([*fresh(60), *(copy if i % 3 == 0 else fresh(40)), *fresh(100)]) for i in range(n)]
+    held = {i for i in range(n) if i % 3 == 0}
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs(spark, texts), bench).collect()} == held
+    texts[1::3] = [f"{t} {' '.join(lost[i % len(lost)])}" for i, t in enumerate(texts[1::3])]
+    assert {r.doc_id for r in decontaminate.contaminated(docs(spark, texts), bench).collect()} == held
+    assert {r.doc_id for r in decontaminate.clean(docs(spark, texts), bench).collect()} == set(range(n)) - held
+
+
+@given(st.lists(st.integers(0, 4), min_size=8, max_size=14), st.lists(st.integers(0, 9), min_size=1, max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_no_alignment_beats_the_bound(a, b):
+    items = decontaminate.Items([])
+    items.words = [np.array(a, "u8")]
+    assert items.most(0, np.array(b, "u8")) >= smith_waterman(a, b)
+
+
 # -- html
 
 

@@ -2,7 +2,8 @@
 
 First pass, over all documents: which runs of SEED words of the test items does each hold? The document frequencies say which
 of them are rare. Second pass, over the documents with a rare seed: the passages around such seeds are aligned locally, word
-by word, with the item. Test items are few beside the corpus, yet they aren't assumed to fit anywhere at once: they go
+by word, with the item. So are passages that hold common seeds alone, unless a bound proves that they can't reach the threshold:
+an item that many documents hold has no rare seed. Test items are few beside the corpus, yet they aren't assumed to fit anywhere at once: they go
 through in blocks of bounded size.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common, words
 
 SEED = 3
-#: A seed is rare if it is in at most this share of documents, or as common as its item is itself: twice its seeds' median.
+#: A seed is rare if it is in at most this share of documents, or as common as its item is itself: twice the median of its seeds that occur.
 RARE_SHARE = 0.005
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Of an item's best possible score; with substitutions alone, up to a third of its words may differ.
@@ -67,9 +68,15 @@ class Items:
         seed, owner = (np.concatenate(x) if x else np.zeros(0, "u8") for x in (seeds, owners))
         order = np.argsort(seed, kind="stable")
         self.seed, self.owner = seed[order], owner[order].astype("i8")
+        self.rare = np.zeros(len(seed), bool)
 
-    def only(self, kept: np.ndarray) -> None:
-        self.seed, self.owner = self.seed[kept], self.owner[kept]
+    def least(self, k: int) -> float:
+        return max(THRESHOLD * len(self.words[k]), LEAST_WORDS * MATCH * THRESHOLD)
+
+    def most(self, k: int, passage: np.ndarray) -> float:
+        """No alignment scores more: a word of the passage that the item lacks costs a mismatch or a gap, any other gains a match at most."""
+        total = np.concatenate([[0.0], np.cumsum(np.where(np.isin(passage, self.words[k]), MATCH, max(MISMATCH, GAP)))])
+        return float((total - np.minimum.accumulate(total)).max())
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, indexes of seeds); where several items share a seed, each has its own index."""
@@ -83,21 +90,37 @@ class Items:
         at = np.repeat(found, n)
         return at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
-    def matches(self, h: np.ndarray):
-        """(item_id, score, first word, end word): each item's best passage that reaches the threshold."""
-        at, seed = self.hits(h)
+    def passages(self, at: np.ndarray, seed: np.ndarray, n: int):
+        """(item, its reach, first word, end word, whether a rare seed is in it): the surroundings of hits in a text of n words."""
         item = self.owner[seed]
         for k in np.unique(item):
-            own, length = np.sort(at[item == k]), len(self.words[k])
-            reach, best = length + length // 2 + SEED, (0.0, 0, 0)
-            for some in np.split(own, np.flatnonzero(np.diff(own) > 2 * reach) + 1):
-                lo, hi = max(0, int(some[0]) - reach), min(len(h), int(some[-1]) + SEED + reach)
-                for a in range(lo, hi, 16 * length):  # passages overlap by more than an item's reach
-                    score, start, end = align(self.words[k], h[a : min(hi, a + 16 * length + 2 * reach)])
-                    if score > best[0]:
-                        best = (score, a + start, a + end)
-            if best[0] >= max(THRESHOLD * length, LEAST_WORDS * MATCH * THRESHOLD):
-                yield self.ids[k], best[0] / length, best[1], best[2]
+            own = item == k
+            order = np.argsort(at[own], kind="stable")
+            where, rare = at[own][order], self.rare[seed[own][order]]
+            length = len(self.words[k])
+            reach = length + length // 2 + SEED
+            cuts = np.flatnonzero(np.diff(where) > 2 * reach) + 1
+            for some, vouched in zip(np.split(where, cuts), np.split(rare, cuts), strict=True):
+                yield k, reach, max(0, int(some[0]) - reach), min(n, int(some[-1]) + SEED + reach), bool(vouched.any())
+
+    def could(self, h: np.ndarray, at: np.ndarray, seed: np.ndarray) -> bool:
+        """Whether the bound allows that the text holds an item."""
+        return any(self.most(k, h[lo:hi]) >= self.least(k) for k, _, lo, hi, _ in self.passages(at, seed, len(h)))
+
+    def matches(self, h: np.ndarray):
+        """(item_id, score, first word, end word): each item's best passage that reaches the threshold."""
+        found: dict[int, tuple[float, int, int]] = {}
+        for k, reach, lo, hi, vouched in self.passages(*self.hits(h), len(h)):
+            if not vouched and self.most(k, h[lo:hi]) < self.least(k):
+                continue
+            step = 16 * len(self.words[k])
+            for a in range(lo, hi, step):  # passages overlap by more than an item's reach
+                score, start, end = align(self.words[k], h[a : min(hi, a + step + 2 * reach)])
+                if score > found.get(k, (0.0, 0, 0))[0]:
+                    found[k] = (score, a + start, a + end)
+        for k, best in found.items():
+            if best[0] >= self.least(k):
+                yield self.ids[k], best[0] / len(self.words[k]), best[1], best[2]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -128,25 +151,27 @@ def _block(docs: DataFrame, n_docs: int, items: Items) -> DataFrame:
 
     def seeds(batches):
         for batch in batches:
-            ids, found = [], []
+            ids, found, could = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, seed = held.value.hits(words.hashes(words.words_of(text)))
+                h = words.hashes(words.words_of(text))
+                at, seed = held.value.hits(h)
                 if len(seed):
                     ids.append(doc)
                     found.append(np.unique(seed).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "seeds"])
+                    could.append(held.value.could(h, at, seed))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(could, pa.bool_())], ["doc_id", "seeds", "could"])
 
-    hits = common.written(docs.mapInArrow(seeds, "doc_id long, seeds array<int>"), "seed-hits").select("doc_id", F.explode("seeds").alias("seed"))
+    held_seeds = common.written(docs.mapInArrow(seeds, "doc_id long, seeds array<int>, could boolean"), "seed-hits")
+    hits = held_seeds.select("doc_id", F.explode("seeds").alias("seed"))
     count = np.zeros(len(items.seed), "i8")
     for r in hits.groupBy("seed").count().toLocalIterator():  # a row for each seed of the block at most
         count[r["seed"]] = r["count"]
-    usual = np.array([np.median(count[items.owner == k]) for k in range(len(items.ids))])
+    usual = np.array([np.median(c) if len(c := count[(items.owner == k) & (count > 0)]) else 0 for k in range(len(items.ids))])
     rare = count <= np.maximum(RARE_SHARE * n_docs, 2 * usual[items.owner] if len(usual) else 0)
     rare_seeds = docs.sparkSession.createDataFrame([(int(k),) for k in np.flatnonzero(rare & (count > 0))], "seed int")
-    near = common.written(hits.join(rare_seeds, "seed").select("doc_id").distinct(), "near")
+    near = common.written(hits.join(rare_seeds, "seed").select("doc_id").union(held_seeds.filter("could").select("doc_id")).distinct(), "near")
     kept = Items([])
-    kept.ids, kept.words, kept.seed, kept.owner = items.ids, items.words, items.seed, items.owner
-    kept.only(rare)
+    kept.ids, kept.words, kept.seed, kept.owner, kept.rare = items.ids, items.words, items.seed, items.owner, rare
     sought = sc.broadcast(kept)
 
     def passages(batches):
