@@ -161,3 +161,17 @@ def test_labels_and_empty_tables(spark):
 def test_parameters_round_trip(spark, tmp_path):
     storage.save_parameters(spark, f"file://{tmp_path}/m", {"a": [1, 2.5]})
     assert storage.load_parameters(spark, f"file://{tmp_path}/m") == {"a": [1, 2.5]}
+
+
+def test_scenarios_of_all_series(spark):
+    from tidemark import queries
+
+    data = "/root/testdata/sf0.01"
+
+    names = {r[0] for r in queries.panel(spark, data).select("name").distinct().collect()}
+    rows = queries.QUERIES["copula_scenarios"](spark, data).collect()
+    assert {r.name for r in rows} == names and len(names) > 1
+    assert len({(r.name, r.ts, r.scenario) for r in rows}) == len(rows)
+    leaves = queries.QUERIES["tree_leaf_paths"](spark, data).collect()
+    assert {(r.name, r.ts) for r in leaves} == {(r.name, r.ts) for r in rows}
+    assert len({(r.name, r.ts, r.leaf, r.step) for r in leaves}) == len(leaves)

@@ -46,29 +46,31 @@ def interpolate(at: np.ndarray, alphas: np.ndarray, q: np.ndarray) -> np.ndarray
     return q[k] + (at - alphas[k]) * (q[k + 1] - q[k]) / (alphas[k + 1] - alphas[k])
 
 
-def sample(quantiles: DataFrame, correlation: DataFrame, alphas: Sequence[float], n: int, *, seed: int = 0) -> DataFrame:
-    """(ts, scenario, path) from (ts, q array<array<double>>: a row of quantiles for each step).
+def sample(quantiles: DataFrame, correlation: DataFrame, alphas: Sequence[float], n: int, *, seed: int = 0, by: Sequence[str] = ("ts",)) -> DataFrame:
+    """(by, scenario, path) from (by, q array<array<double>>: a row of quantiles for each step).
 
-    The correlation of the row's hour is the copula's; every time draws from a seed of its own, so the result doesn't depend on partitions.
+    The correlation of the hour of the row's ts, which is in by, is the copula's; every row draws from a seed of its own, so the result doesn't depend on partitions.
     """
     levels = np.array(alphas)
     matrices = correlation.groupBy("hour").agg(F.collect_list(F.struct("i", "j", "r")).alias("cells"))
     both = quantiles.withColumn("hour", F.hour("ts")).join(F.broadcast(matrices), "hour")  # 24 rows
-    both = both.select("ts", F.unix_micros("ts").alias("key"), "q", "cells")
+    key = F.unix_micros("ts") if list(by) == ["ts"] else F.xxhash64(*by)
+    both = both.select(*by, key.alias("key"), "q", "cells")
 
     def run(frames):
         for pdf in frames:
             out = []
-            for ts, key, q, cells in zip(pdf.ts, pdf.key, pdf.q, pdf.cells, strict=True):
+            for *row, key, q, cells in zip(*(pdf[c] for c in by), pdf.key, pdf.q, pdf.cells, strict=True):
                 m = _matrix(pd.DataFrame([(c["i"], c["j"], c["r"]) for c in cells], columns=["i", "j", "r"]).astype({"r": "f8"}))
                 u = norm_cdf(_normal(m, int(key), seed, n))
                 rng = np.random.default_rng([seed + 1, int(key) & 0x7FFFFFFF])
                 paths = np.stack([interpolate(u[:, s], levels, np.array(q[s], "f8")) for s in range(len(q))], 1)
                 paths = paths + 1e-9 * rng.standard_normal(paths.shape)  # no two alike
-                out += [(ts, k, p.tolist()) for k, p in enumerate(paths)]
-            yield pd.DataFrame(out, columns=["ts", "scenario", "path"])
+                out += [(*row, k, p.tolist()) for k, p in enumerate(paths)]
+            yield pd.DataFrame(out, columns=[*by, "scenario", "path"])
 
-    return both.mapInPandas(run, "ts timestamp, scenario int, path array<double>")
+    schema = ", ".join(f"{c} {quantiles.schema[c].dataType.simpleString()}" for c in by)
+    return both.mapInPandas(run, f"{schema}, scenario int, path array<double>")
 
 
 # -- trees: rows (node, parent, step, p, v); the root's parent is -1 ---------------------------------

@@ -594,23 +594,21 @@ def top_frequencies(spark, d):
 
 def _scenarios(spark, d, n=12):
     own = written(steps_ahead(spark, d).dropna(subset=["y", "f"]), "ahead")
-    first = own.agg(F.min("name")).first()[0]
-    one = own.filter(F.col("name") == first)
-    q = forecasts.with_quantiles(one, forecasts.residual_quantiles(own, LEVELS))
-    by_step = q.groupBy("ts", "step").agg(F.transform(F.array_sort(F.collect_list(F.struct("alpha", "q"))), lambda x: x["q"]).alias("qs"))
-    full = by_step.groupBy("ts").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "qs"))), lambda x: x["qs"]).alias("q")).filter(F.size("q") == 3)
+    q = forecasts.with_quantiles(own, forecasts.residual_quantiles(own, LEVELS))
+    by_step = q.groupBy("name", "ts", "step").agg(F.transform(F.array_sort(F.collect_list(F.struct("alpha", "q"))), lambda x: x["q"]).alias("qs"))
+    full = by_step.groupBy("name", "ts").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "qs"))), lambda x: x["qs"]).alias("q")).filter(F.size("q") == 3)
     errors = own.withColumn("e", F.col("y") - F.col("f")).groupBy("ts", "name").pivot("step", [1, 2, 3]).agg(F.first("e")).toDF("ts", "name", "e1", "e2", "e3")
     corr = scenarios.hourly_correlation(errors, ["e1", "e2", "e3"], method="shrunk")
-    return scenarios.sample(full, corr, LEVELS, n)
+    return scenarios.sample(full, corr, LEVELS, n, by=("name", "ts"))
 
 
 @query()
 def copula_scenarios(spark, d):
-    return _scenarios(spark, d).select("ts", "scenario", F.transform("path", lambda v: F.round(v, 4)).alias("path"))
+    return _scenarios(spark, d).select("name", "ts", "scenario", F.transform("path", lambda v: F.round(v, 4)).alias("path"))
 
 
 def _trees(spark, d, kind):
-    return rounded(scenarios.trees(_scenarios(spark, d), [1, 2, 4], kind=kind), "p", "v")
+    return rounded(scenarios.trees(_scenarios(spark, d), [1, 2, 4], kind=kind, by=("name", "ts")), "p", "v")
 
 
 @query()
@@ -635,7 +633,7 @@ def tree_gradient(spark, d):
 
 @query()
 def tree_leaf_paths(spark, d):
-    return scenarios.leaf_paths(written(_trees(spark, d, "scenred"), "trees"), 3)
+    return scenarios.leaf_paths(written(_trees(spark, d, "scenred"), "trees"), 3, by=("name", "ts"))
 
 
 # -- learners ----------------------------------------------------------------------------------------
