@@ -289,6 +289,19 @@ def test_main_text():
     assert html.main_text(page, [], ["html/body/nothing"]).startswith("Title")
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda *said: "<body>" + "".join(f"<div class=d{'abc'[k]}><p>{t}</p></div>" for k, t in enumerate(said) if t)
+    copies = [("a.x", page("Top", "An article."))] * 4
+    mixed = [("b.x", page("Top", f"Article {i}.")) for i in range(3)] + [("b.x", page("Top", "Quoted page.", "A quote."))] * 4
+    bare = [("b.x", page("Top"))]
+    rows = [(i, f"http://{host}/{i}", html_) for i, (host, html_) in enumerate(copies + mixed + bare)]
+    got = [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got[:4] == ["Top\nAn article."] * 4
+    assert got[4:7] == [f"Article {i}." for i in range(3)]
+    assert got[7:11] == ["Quoted page.\nA quote."] * 4
+    assert got[11] == "Top"
+
+
 def test_wrappers():
     a, b = html.stream(["b/h1", "b/p", "b/p", "b/ul/li", "b/ul/li"]), html.stream(["b/h1", "b/p", "b/div"])
     both = html.align(a, b)

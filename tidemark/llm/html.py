@@ -4,7 +4,7 @@ A page is a stream of block tags and text slots (inline markup belongs to the te
 after another with the wrapper so far: what recurs side by side becomes a repeated group, what one of the two lacks becomes
 an optional group, and texts become slots. Equal streams are counted once before, and a host's streams are aligned in
 salted parts whose wrappers are then aligned with each other, so that no task holds a hot host. A slot that says the same on
-all pages of its host is its template's; a wrapper names the groups that hold the article and the ones that never do.
+all pages of its host that have it, copies of a page counted once, is its template's; a wrapper names the groups that hold the article and the ones that never do.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ OUTSIDE = frozenset("nav footer aside form button dialog menu head".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|sponsor|sponsored|promo|sidebar|side-bar|nav|navbar|menu|breadcrumbs?|footer|cookies?|consent|notice|banner|popup|modal|newsletter|subscribe|signup|social|share|sharing|related|recommended|comments?|respond|disqus|pagination|pager|masthead|topbar|skip)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|</?[a-zA-Z][^>]*\Z|(?P<text>[^<]+|<)""", re.S)
+_HEADER = re.compile(r"(?:^|/)header(?:[./]|$)")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Parts into which a host's distinct streams are dealt before its wrapper is put together.
 SALTS = 16
@@ -189,25 +190,26 @@ def _merge(key, table: pa.Table) -> pa.Table:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), articles (paths), template (paths of slots that say the same on all of several pages)."""
+    """host, wrapper (JSON), articles (paths), template (paths of slots that say the same on all of several pages that differ)."""
 
     def described(batches):
         for batch in batches:
             for part in common.parts(batch, 1):
-                hosts, streams, slots = [], [], []
+                hosts, streams, slots, contents = [], [], [], []
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     said: dict[str, list[str]] = {}
                     paths = []
                     for path, outside, text in blocks(page):
                         paths.append(path)
-                        if not outside:
+                        if not (outside or _HEADER.search(path)):
                             said.setdefault(path, []).append(text)
                     hosts.append(host)
                     streams.append(json.dumps(stream(paths)))
+                    contents.append(xxhash.xxh64_intdigest(json.dumps(said)) - 2**63)
                     slots.append([{"path": p, "said": xxhash.xxh64_intdigest("\n".join(t)) - 2**63} for p, t in said.items()])
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(streams), pa.array(slots, pa.list_(pa.struct([("path", pa.string()), ("said", pa.int64())])))], ["host", "wrapper", "slots"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(streams), pa.array(slots, pa.list_(pa.struct([("path", pa.string()), ("said", pa.int64())]))), pa.array(contents, pa.int64())], ["host", "wrapper", "slots", "content"])
 
-    seen = common.written(pages.select(host_of("url").alias("host"), "html").mapInArrow(described, "host string, wrapper string, slots array<struct<path: string, said: bigint>>"), "streams")
+    seen = common.written(pages.select(host_of("url").alias("host"), "html").mapInArrow(described, "host string, wrapper string, slots array<struct<path: string, said: bigint>>, content bigint"), "streams")
     distinct = seen.select("host", "wrapper").distinct().withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     merged = distinct.groupBy("host", "salt").applyInArrow(lambda key, t: _merge(key, t), "host string, wrapper string").groupBy("host").applyInArrow(lambda key, t: _merge(key, t), "host string, wrapper string")
 
@@ -215,18 +217,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([articles(json.loads(w)) for w in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["host", "wrapper", "articles"])
 
-    slot = seen.select("host", F.explode("slots").alias("slot")).groupBy("host", "slot.path").agg(F.min("slot.said").alias("lo"), F.max("slot.said").alias("hi"), F.count("*").alias("n"))
+    once = seen.select("host", "content", F.explode("slots").alias("slot")).groupBy("host", "slot.path", "content").agg(F.first("slot.said").alias("said"))  # equal contents say the same
+    slot = once.groupBy("host", "path").agg(F.min("said").alias("lo"), F.max("said").alias("hi"), F.count("*").alias("n"))
     template = slot.filter("lo = hi and n > 2").groupBy("host").agg(F.collect_list("path").alias("template"))
     return common.written(merged.mapInArrow(named, "host string, wrapper string, articles array<string>").join(template, "host", "left"), "wrappers")
 
 
 def main_text(page: str | None, roots: list[str], template: list[str]) -> str:
-    """Blocks inside the article's groups; on a page (or a host) without any, all but the template's slots and what is outside."""
+    """Blocks inside the article's groups; on a page (or a host) without any, all but the template's slots and what is outside.
+    A page that has nothing but the template's slots keeps them."""
     found = [(path, text) for path, outside, text in blocks(page) if not outside]
     under = tuple(r + "/" for r in roots)
     own = [text for path, text in found if path in roots or path.startswith(under)] if roots else []
     if not own:
-        own = [text for path, text in found if path not in template and not re.search(r"(?:^|/)header(?:[./]|$)", path)]
+        found = [(path, text) for path, text in found if not _HEADER.search(path)]
+        own = [text for path, text in found if path not in template] or [text for _, text in found]
     return "\n".join(own)
 
 
