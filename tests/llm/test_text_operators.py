@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, common, decontaminate, html, language, mixing, near, quality, token_counts, token_files, words
+from tidemark.llm import chat, common, decontaminate, language, mixing, near, quality, token_counts, token_files, words
 
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n", "a\n b  c", "x<|endoftext|>y <|endoftext|>", "'s it's\n\nfoo\tbar", "a b", " lead", "trail ", "it's, don't! 12.5", "▁x ▁▁y", "é́  x", "😀 a😀\n😀", "<s> x</s>", "日本 語\n x\n", "\x01a \x01b", "a\x00b c", "word " * 3000]
@@ -277,47 +277,6 @@ def test_no_alignment_beats_the_bound(a, b):
     assert items.most(0, np.array(b, "u8")) >= smith_waterman(a, b)
 
 
-# -- html
-
-
-def test_main_text():
-    page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><article>no";</script></head><body>
-    <header>Site</header><nav><ul><li>Menu</ul></nav><!-- <p>no</p> --><div class="side-bar ad">Buy</div><div class="cookie-notice">Accept</div>
-    <article class="post"><h1>Title &amp; more</h1><p><b>First&nbsp; one<br><p>Second <i>in</i>line a &lt; b &#233;<form>Mail?</form><ul><li>x<li>y</ul>
-    <div class="related-posts">Else</div><table><tr><td>1<td>2</table><section id="comments"><p>Great!</p></section></article><footer>Foot</footer>"""
-    assert html.main_text(page, ["html/body/article.post"], []) == "Title & more\nFirst one\nSecond inline a < b é\nx\ny\n1\n2"
-    assert html.main_text(page, [], ["html/body/nothing"]).startswith("Title")
-
-
-def test_copies_of_a_page_are_no_template(spark):
-    page = lambda *said: "<body>" + "".join(f"<div class=d{'abc'[k]}><p>{t}</p></div>" for k, t in enumerate(said) if t)
-    copies = [("a.x", page("Top", "An article."))] * 4
-    mixed = [("b.x", page("Top", f"Article {i}.")) for i in range(3)] + [("b.x", page("Top", "Quoted page.", "A quote."))] * 4
-    bare = [("b.x", page("Top"))]
-    rows = [(i, f"http://{host}/{i}", html_) for i, (host, html_) in enumerate(copies + mixed + bare)]
-    got = [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
-    assert got[:4] == ["Top\nAn article."] * 4
-    assert got[4:7] == [f"Article {i}." for i in range(3)]
-    assert got[7:11] == ["Quoted page.\nA quote."] * 4
-    assert got[11] == "Top"
-
-
-def test_wrappers():
-    a, b = html.stream(["b/h1", "b/p", "b/p", "b/ul/li", "b/ul/li"]), html.stream(["b/h1", "b/p", "b/div"])
-    both = html.align(a, b)
-    assert html.expression(both) == "(<b>(<h1>(#)</h1>)(<p>(#)</p>)+(<ul>(<li>(#)</li>)+</ul>)?(<div>(#)</div>)?</b>)"
-    assert html.align(both, a) == both
-    assert html.articles(html.stream(["html/body/main/p", "html/body/article.x/h1"])) == ["html/body/main", "html/body/article.x"]
-
-
-def test_extract_edge_cases(spark):
-    rows = [(1, "https://u@A.example:80/x", "<p>One<p>Two"), (2, None, None), (3, "not a url", ""), (4, "http://a.example/y", "<p>One<p>Other"), (4, "http://a.example/y", "<div>plain <b>x"), (5, "http://t.example", "<a href='"), (6, "http://t.example/1", "a < b & c &copy x"), (None, "http://z", "<article><p>in</article>out")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("clash"), "key": F.lit(1), "template": F.lit(2)})
-    out = {(r.page_id, r.text): r for r in html.extract(df).collect()}
-    assert {k[1] for k in out} == {"One\nTwo", "", "One\nOther", "plain x", "a < b & c © x", "in"}
-    assert all(r.n_chars == len(r.text) for r in out.values()) and html.extract(df.limit(0)).count() == 0
-
-
 # -- learned operators
 
 
