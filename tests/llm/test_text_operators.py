@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, common, decontaminate, language, mixing, near, quality, token_counts, token_files, words
+from tidemark.llm import chat, common, language, mixing, near, quality, token_counts, token_files, words
 
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n", "a\n b  c", "x<|endoftext|>y <|endoftext|>", "'s it's\n\nfoo\tbar", "a b", " lead", "trail ", "it's, don't! 12.5", "▁x ▁▁y", "é́  x", "😀 a😀\n😀", "<s> x</s>", "日本 語\n x\n", "\x01a \x01b", "a\x00b c", "word " * 3000]
@@ -201,82 +201,6 @@ def test_near_groups_equal_brute_force(spark):
     assert near.near_groups(docs(spark, []).limit(0)).count() == 0
 
 
-# -- decontamination
-
-
-def smith_waterman(a, b):
-    h = np.zeros((len(a) + 1, len(b) + 1))
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            s = decontaminate.MATCH if a[i - 1] == b[j - 1] else decontaminate.MISMATCH
-            h[i, j] = max(0, h[i - 1, j - 1] + s, h[i - 1, j] + decontaminate.GAP, h[i, j - 1] + decontaminate.GAP)
-    return h.max()
-
-
-@given(st.lists(st.integers(0, 4), min_size=1, max_size=14), st.lists(st.integers(0, 4), min_size=1, max_size=20))
-@settings(max_examples=200, deadline=None)
-def test_alignment(a, b):
-    score, start, end = decontaminate.align(np.array(a, "u8"), np.array(b, "u8"))
-    assert score == smith_waterman(a, b)
-    assert smith_waterman(a, b[start:end]) == score if score else start == end or score == 0
-
-
-def test_contamination(spark):
-    rnd = random.Random(7)
-    fresh = lambda n: [f"{rnd.choice('bcdfg')}{rnd.randrange(900)}" for _ in range(n)]
-    items = [fresh(rnd.randrange(15, 50)) for _ in range(6)]
-    texts, want = [], set()
-    for k, item in enumerate(items):
-        for share in (0, 0.1, 0.2):
-            copy = [w if rnd.random() >= share else fresh(1)[0] for w in item]
-            want.add((len(texts), k))
-            texts.append(" ".join([*fresh(60), *copy, *fresh(500)]))
-        texts.append(" ".join(fresh(200)))
-        texts.append(" ".join([*fresh(60), *item[: len(item) // 4], *fresh(60)]))
-    texts += [None, "", "a b"]
-    bench = spark.createDataFrame([*((k, " ".join(i)) for k, i in enumerate(items)), (97, None), (98, ""), (99, "too short")], "item_id long, text string")
-    found = decontaminate.contaminated(docs(spark, texts), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == want
-    assert all(0.5 <= r.score <= 1 for r in found) and sum(r.score == 1 for r in found) >= 6
-    kept = decontaminate.clean(docs(spark, texts), bench)
-    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want} and kept.columns == docs(spark, []).columns
-    assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
-    assert decontaminate.contaminated(docs(spark, texts).limit(0), bench).count() == 0
-
-
-def _edited(item, rnd, fresh):
-    """A copy with a quarter of the words replaced."""
-    gone = set(rnd.sample(range(len(item)), len(item) // 4))
-    return [fresh(1)[0] if i in gone else w for i, w in enumerate(item)]
-
-
-@pytest.mark.parametrize("n", [10, 300])
-def test_edited_copies_in_a_third_of_documents(spark, n):
-    """None of an item's seeds is rare then, and most of those that are occur by chance."""
-    rnd = random.Random(3)
-    fresh = lambda n: [f"{rnd.choice('bcdfg')}{rnd.randrange(900)}" for _ in range(n)]
-    item = fresh(40)
-    copy = _edited(item, rnd, fresh)
-    seeds = [item[i : i + 3] for i in range(38)]
-    lost = [s for s in seeds if " ".join(s) not in " ".join(copy)]
-    assert len(lost) > len(seeds) / 2
-    texts = [" ".join([*fresh(60), *(copy if i % 3 == 0 else fresh(40)), *fresh(100)]) for i in range(n)]
-    held = {i for i in range(n) if i % 3 == 0}
-    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.contaminated(docs(spark, texts), bench).collect()} == held
-    texts[1::3] = [f"{t} {' '.join(lost[i % len(lost)])}" for i, t in enumerate(texts[1::3])]
-    assert {r.doc_id for r in decontaminate.contaminated(docs(spark, texts), bench).collect()} == held
-    assert {r.doc_id for r in decontaminate.clean(docs(spark, texts), bench).collect()} == set(range(n)) - held
-
-
-@given(st.lists(st.integers(0, 4), min_size=8, max_size=14), st.lists(st.integers(0, 9), min_size=1, max_size=30))
-@settings(max_examples=200, deadline=None)
-def test_no_alignment_beats_the_bound(a, b):
-    items = decontaminate.Items([])
-    items.words = [np.array(a, "u8")]
-    assert items.most(0, np.array(b, "u8")) >= smith_waterman(a, b)
-
-
 # -- learned operators
 
 
