@@ -37,3 +37,26 @@ def test_numbers_beyond_doubles():
     ids, x = np.arange(300), np.full((300, 2), 2**40) + np.arange(300)[:, None]
     got, scores, there = topk.BallTree(ids, x).search(np.array([1000]), x[:1] + 1, 3, np.array([-np.inf]))
     assert there.all() and got[0].tolist() == [299, 298, 297] and scores[0, 0] == 2 * (2**40 + 1) * (2**40 + 299)
+
+
+def test_leaves_of_equal_vectors():
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(np.concatenate([np.arange(5_000), np.zeros(300, "i8"), np.full(9, 3)]))
+    tree = topk.BallTree(ids, np.full((len(ids), 4), 7), 5)
+    assert len(tree.nodes) == 1 and len(tree.nodes[0][3]) < 330
+    for own in (0, 3, 9_999):
+        got, scores, there = tree.search(np.array([own]), np.full((1, 4), 2), 5, np.array([-np.inf]))
+        assert there.all() and got[0].tolist() == sorted(i for i in ids if i != own)[:5] and (scores == 56).all()
+
+
+def test_queries_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0])]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(frame(spark, rows), 3).collect())
+    assert got == [(1, 1, 3 * 65536), (2, 2, 2 * 65536), (3, 1, 65536)]
+
+
+def test_ties_beyond_doubles(spark):
+    top = float(2**20)
+    rows = [(0, [top, 1.0])] + [(i, [top * 8, 0.0]) for i in range(1, 2000)] + [(2000, [top * 8, 1 / 256])]
+    got = sorted((r["rank"], r.vec_id) for r in topk.top_k(frame(spark, rows), every=10_000).collect())
+    assert got == [(1, 2000), (2, 1), (3, 2), (4, 3), (5, 4)]

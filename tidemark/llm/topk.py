@@ -26,10 +26,11 @@ _EXACT = float(2**53)
 
 
 class BallTree:
-    """Balls over the rows of ``x``; leaves hold at most LEAF rows."""
+    """Balls over the rows of ``x``; leaves hold at most LEAF rows. Of more equal vectors, which all score the same, a leaf holds those
+    of the smallest ids that can be among the ``k`` best when all rows of any one id are left out."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int = 5):
+        self.ids, self.x, self.k = ids, x, k
         self.float = x.astype("f8")
         self.nodes: list = []
         self._grow(np.arange(len(ids)))
@@ -42,6 +43,8 @@ class BallTree:
             centre = own.mean(0)
             radius = math.sqrt(float(((own - centre) ** 2).sum(1).max()))
             me = len(self.nodes)
+            if len(rows) > LEAF and radius < 1e-3 and (self.x[rows] == self.x[rows[0]]).all():
+                radius, rows = 0.0, self._first(rows)
             self.nodes.append([centre, radius, None, rows])
             if parent >= 0:
                 self.nodes[parent][2][side] = me
@@ -53,6 +56,13 @@ class BallTree:
                 stack += [(rows[order[:half]], me, 0), (rows[order[half:]], me, 1)]
         return root
 
+    def _first(self, rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.argsort(self.ids[rows], kind="stable")]
+        first = np.searchsorted(self.ids[rows], self.ids[rows], "left")
+        most = np.maximum.accumulate(np.arange(len(rows)) - first + 1)  # rows of one id so far
+        enough = np.flatnonzero(np.arange(1, len(rows) + 1) - most >= self.k)
+        return rows[: enough[0] + 1] if len(enough) else rows
+
     def search(self, qid: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray):
         """(ids, scores, valid) of shape (queries, k): every row's best but its own id, down to ``bar``."""
         n = len(qid)
@@ -96,7 +106,8 @@ class BallTree:
             else:
                 order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
             scores[rows], ids[rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-            bar[rows] = np.maximum(bar[rows], scores[rows, k - 1].astype("f8"))
+            kth = scores[rows, k - 1].astype("f8")
+            bar[rows] = np.maximum(bar[rows], np.nextafter(kth, -np.inf) if big else kth)
         return ids, scores, scores != low
 
 
@@ -111,14 +122,17 @@ def to_integers(vectors: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its k best among all rows of other ids.
 
-    Rows that share an id are candidates of their own, but never of a query with this id; queries that share an id answer as one set.
+    Rows that share an id are candidates of their own, but never of a query with this id; queries that share an id answer as one set,
+    the k best of their pairs. Rows without a usable vector take no part, vectors of other lengths are compared among themselves, an
+    empty table gives an empty one, and other columns are ignored. Components and scores are exact within a long, and held at its ends beyond.
+    Runs jobs while it is called: the first round is written.
     """
     spark = vectors.sparkSession
     whole = to_integers(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x")))
     whole = common.written(whole, "vectors")
     rows = whole.count()
     shards = max(min(LEAST_SHARDS, -(-rows // 1024)), -(-rows // SHARD_ROWS), 1)
-    shard_of = F.pmod(F.xxhash64("id"), F.lit(shards))
+    shard_of = F.pmod(F.xxhash64("id", "x"), F.lit(shards))
     queries = whole.filter(F.col("id") % every == 0)
     base = whole.select(shard_of.cast("int").alias("shard"), "dim", F.lit(0).alias("kind"), "id", "x", F.lit(None).cast("double").alias("bar"))
 
@@ -164,11 +178,12 @@ def _searched(base: DataFrame, asked: DataFrame, k: int, shards: int) -> DataFra
                 if not held:
                     continue
                 if tree is None:
-                    tree = BallTree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                    tree = BallTree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k)
                 for at in range(0, part.num_rows, 512):
                     block = part.slice(at, 512)
                     qid = np.asarray(block.column(3), "i8")
                     bar = np.asarray(block.column(5).fill_null(-math.inf), "f8")
+                    bar = np.where(np.abs(bar) >= _EXACT, np.nextafter(bar, -np.inf), bar)  # a long may have been rounded up
                     ids, scores, there = tree.search(qid, matrix(block), k, bar)
                     rows, ranks = np.nonzero(there)
                     kept = scores[rows, ranks] >= bar[rows]
