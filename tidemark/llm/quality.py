@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
     """Learn P(quality = 1) from labelled rows whose crc32(doc_id) mod 5 isn't 0; remainder 1 calibrates, 2 to 4 fit.
 
     Labels that are null or name no document take no part; of several for one document the mean decides, 1 if it is 0.5 or more.
-    Without a label every score is 0.5.
+    Rows that share a doc_id each count with its label, rows of null doc_id have none. Texts are read whole, in slices of bounded bytes. Without a
+    label every score is 0.5. Runs jobs while it is called: the model is a small object on the driver.
     """
     truth = labels.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")).filter("y is not null and doc_id is not null")
     part = common.remainder("doc_id", 5).cast("int")
@@ -107,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
 
     def described(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "part"])
+            for part in common.parts(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in part.column(0).to_pylist()], pa.list_(pa.float64())), part.column(1), part.column(2)], ["x", "y", "part"])
 
     train = docs.select("doc_id", "text").join(common.small(truth, max_train * 2), "doc_id").select("text", "y", "part")
     train = common.written(train.mapInArrow(described, "x array<double>, y double, part int"), "statistics")
@@ -139,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
 
 
 def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
-    """The documents as they are, and column ``name`` of every whole text; null and empty texts are scored too.
-    A column of this name that the table already has is replaced."""
+    """The documents as they are, and column ``name`` of every whole text; null and empty texts, which have the statistics zero, are scored too.
+    Rows of one text score alike, whatever their ids; an empty table stays empty. A column of this name that the table already has is replaced."""
     cols = [c for c in docs.columns if c != name]
     text = cols.index("text")
 
@@ -162,4 +164,5 @@ THRESHOLD = 0.3
 def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, common.table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    held_out = F.coalesce(common.remainder("doc_id", 5) == 0, F.lit(False))  # a null doc_id has no label to hold out
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
