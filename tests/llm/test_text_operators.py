@@ -221,13 +221,33 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got, p / total) and np.allclose(e, expected / total)
 
 
-def test_chunks_change_nothing(monkeypatch):
+def test_chunks_and_blocks_change_nothing(monkeypatch):
     rng = np.random.default_rng(1)
-    scores, moves, lengths = rng.normal(size=(200, 3)), rng.normal(size=(3, 3)), np.array([1, 70, 129])
+    scores, moves, lengths = rng.normal(size=(600, 3)), rng.normal(size=(3, 3)), np.array([1, 70, 129, 400])
     a = language.forward_backward(scores, lengths, moves)
+    share = language.shares(lambda i, j: scores[i:j], lengths, moves)
     monkeypatch.setattr(language, "CHUNK", 1000)
     b = language.forward_backward(scores, lengths, moves)
-    assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1])
+    monkeypatch.setattr(language, "BLOCK_VALUES", 90)
+    monkeypatch.setattr(language, "CHUNK", 8)
+    c = language.forward_backward(scores, lengths, moves)
+    for other in (b, c):
+        assert np.allclose(a[0], other[0]) and np.allclose(a[1], other[1])
+    ends = np.cumsum(lengths)
+    assert np.allclose(share, [a[0][e - n : e].mean(0) for n, e in zip(lengths, ends, strict=True)])
+    assert np.allclose(share, language.shares(lambda i, j: scores[i:j], lengths, moves))
+
+
+def test_rare_languages_are_learned(spark):
+    rnd = random.Random(2)
+    say = lambda letters: " ".join("".join(rnd.choices(letters, k=5)) for _ in range(40))
+    rows = [(i, say("abcde"), "aa", "s") for i in range(900)] + [(i, say("vwxyz"), "zz", "s") for i in range(900, 906)]
+    rows += [(None, say("vwxyz"), "zz", "s"), (3, None, "aa", "s"), (4, "word " * 200_000, "aa", "s"), (905, say("vwxyz"), None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    model = language.fit(df, max_train=60, max_chars=30_000)
+    assert model.langs == ["aa", "zz"]
+    got = language.identify(df, model).collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == "zz" for r in got) == 8
 
 
 def test_languages(spark):
@@ -247,6 +267,36 @@ def test_isotonic():
     assert (np.diff(x) > 0).all() and (np.diff(v) >= 0).all() and v.min() > 0 and v.max() < 1
 
 
+def test_quality_equals_a_direct_solution(spark):
+    """Weights by one least-squares solve over all rows, calibration by projections onto monotone sequences; then every row's score."""
+    d = "/root/testdata/sf0.01"
+    real, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    y = {r.doc_id: float(r.quality) for r in labels.collect()}
+    rows = real.collect()
+    known = [(r.doc_id, quality.statistics(r.text), y[r.doc_id]) for r in rows if r.doc_id in y and zlib.crc32(str(r.doc_id).encode()) % 5]
+    x = np.array([k[1] for k in known])
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    model = quality.Model(mean, scale, np.zeros(0), np.zeros(0), np.zeros(0))
+    part = np.array([zlib.crc32(str(k[0]).encode()) % 5 for k in known])
+    z, t = model.features(x), np.array([k[2] for k in known])
+    ridge = np.sqrt(np.append(np.full(quality.FEATURES, quality.RIDGE), 1e-9))
+    fit = part > 1
+    model.weights = np.linalg.lstsq(np.vstack([z[fit], np.diag(ridge)]), np.append(2 * t[fit] - 1, np.zeros(len(ridge))), rcond=None)[0]
+    raw, truth = model.raw(x[part == 1]), t[part == 1]
+    at, where = np.unique(raw, return_inverse=True)
+    n, s = np.bincount(where).astype("f8"), np.bincount(where, truth)
+    level = np.array([min(max(s[i : k + 1].sum() / n[i : k + 1].sum() for i in range(j + 1)) for k in range(j, len(at))) for j in range(len(at))])  # the min-max formula
+    knots, values = [], []
+    for v in np.unique(np.round(level, 12)):
+        own = np.abs(level - v) < 1e-9
+        knots.append((at[own] * n[own]).sum() / n[own].sum())
+        values.append((s[own].sum() + 0.5) / (n[own].sum() + 1))
+    want = {r.doc_id: float(np.interp(model.raw(np.array([quality.statistics(r.text)])), knots, values)[0]) for r in rows}
+    got = quality.op1_quality_scores(spark, d).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-4 for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in got)
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.1"
     real, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
