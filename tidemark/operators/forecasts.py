@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 QUANTILES = (0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99)
 
 
@@ -49,8 +51,8 @@ def residual_quantiles(df: DataFrame, alphas: Sequence[float] = QUANTILES, *, by
     levels = F.array(*map(F.lit, alphas))
     pick = lambda d: d.select(*keys, "hour", "step", F.posexplode("_q").alias("_i", "e")).withColumn("alpha", F.element_at(levels, F.col("_i") + 1)).drop("_i")
     if by_hour and e.select(F.hour(ts)).distinct().count() == 24:
-        return pick(e.groupBy(*keys, F.hour(ts).alias("hour"), "step").agg(F.percentile("e", levels).alias("_q")))
-    whole = e.groupBy(*keys, "step").agg(F.percentile("e", levels).alias("_q"))
+        return pick(exact_quantiles(e.withColumn("hour", F.hour(ts)), "e", alphas, by=[*keys, "hour", "step"]))
+    whole = exact_quantiles(e, "e", alphas, by=[*keys, "step"])
     return pick(whole.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))))
 
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+from .quantiles import exact_quantiles
+
 
 def error() -> Column:
     return F.col("f") - F.col("y")
@@ -28,7 +31,8 @@ def nmae(df: DataFrame, by: Sequence[str], *, row: Sequence[str] = ("ts",), inte
     """Errors relative to the row's mean size, which is lifted by a hundredth of its median over the rows."""
     sizes = df.groupBy(*row).agg(F.avg(F.abs("y")).alias("size"))
     if inter_normalization:
-        sizes = sizes.crossJoin(F.broadcast(sizes.agg((0.01 * F.percentile("size", F.lit(0.5)) + 1e-12).alias("off"))))  # one row
+        off = exact_quantiles(sizes, "size", [0.5]).select((0.01 * F.col("_q")[0] + 1e-12).alias("off"))
+        sizes = sizes.crossJoin(F.broadcast(off))  # one row
     else:
         sizes = sizes.withColumn("off", F.lit(1e-12))
     return df.join(sizes, list(row)).groupBy(*by).agg(F.avg(F.abs(error()) / (F.col("size") + F.col("off"))).alias("nmae"))
@@ -57,7 +61,7 @@ def crps(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def quantile_bins(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
     """Right-closed bins between n + 1 quantiles, the first one closed on both sides; numbered from 0. The cut points are one row."""
-    cuts = df.agg(F.percentile(col, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_cuts"))
+    cuts = exact_quantiles(df, col, [i / n for i in range(1, n)]).withColumnRenamed("_q", "_cuts")
     return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(F.col(col).isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(col))))).drop("_cuts")
 
 
@@ -96,9 +100,9 @@ def outlier_scores(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def without_outliers(df: DataFrame, cols: Sequence[str], share: float) -> DataFrame:
-    """Without the ``share`` of rows that score highest; the cut is a percentile, so nothing is sorted as a whole."""
+    """Without the ``share`` of rows that score highest; the cut is a quantile found by counting, so nothing is sorted as a whole."""
     scored = outlier_scores(df, cols)
-    cut = scored.agg(F.percentile("outlier", F.lit(1 - share)).alias("_cut"))
+    cut = exact_quantiles(scored, "outlier", [1 - share]).select(F.col("_q")[0].alias("_cut"))
     return scored.crossJoin(F.broadcast(cut)).filter(F.col("outlier") <= F.col("_cut")).select(*df.columns)
 
 
@@ -128,15 +132,27 @@ def shrink(df: DataFrame) -> DataFrame:
 
 
 def categorical_columns(df: DataFrame, most: int = 24) -> list[str]:
-    """Columns of at most so many distinct values."""
-    r = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first()
-    return [c for c in df.columns if r[c] <= most]
+    """Columns of at most so many distinct values. A sketch first leaves out those that surely have more, so that distinct values are
+    only counted, and shuffled, of columns that have few."""
+    about = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in df.columns]).first()
+    few = [c for c in df.columns if about[c] <= 2 * most]
+    r = df.agg(*[F.count_distinct(c).alias(c) for c in few]).first() if few else {}
+    return [c for c in few if r[c] <= most]
 
 
 def encode_labels(df: DataFrame, col: str, out: str, seen: DataFrame | None = None) -> DataFrame:
     """The place of each value among the sorted distinct ones of ``seen`` (default: df's own); one that wasn't seen is an error."""
-    labels = (seen or df).select(F.col(col).cast("string").alias("_v")).dropna().distinct()
-    coded = labels.withColumn(out, (F.row_number().over(Window.orderBy("_v")) - 1).cast("int"))
+    labels = written((df if seen is None else seen).select(F.col(col).cast("string").alias("_v")).dropna().distinct(), "labels")
+    # places by counting what is in the range partitions before; no task holds all labels
+    parts = labels.repartitionByRange("_v").sortWithinPartitions("_v").select("_v", F.spark_partition_id().alias("_p"))
+    parts = written(parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_v"))), "places")
+    sizes = sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row a partition
+    before, base = 0, []
+    for p, n in sizes:
+        base.append((p, before))
+        before += n
+    bases = df.sparkSession.createDataFrame(base, "_p int, _b long")
+    coded = parts.join(F.broadcast(bases), "_p").select("_v", (F.col("_b") + F.col("_k") - 1).cast("int").alias(out))
     joined = df.join(coded, df[col].cast("string") == F.col("_v"), "left").drop("_v")
     return joined.withColumn(out, F.when(F.col(col).isNull() | F.col(out).isNotNull(), F.col(out)).otherwise(F.raise_error(F.concat(F.lit("unseen label: "), F.col(col).cast("string")))))
 

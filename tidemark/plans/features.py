@@ -3,7 +3,8 @@
 A ``Features`` object is a plan: it says which columns will come out, over which time they look and how they are made, without
 data. All columns of one layer share one partitioning and order, and so one exchange and one sort. A long series can
 be cut into time buckets: rows go to their own bucket and, as a halo as wide as the furthest look back or ahead, to its
-neighbours; so a single series is many tasks.
+neighbours; so a single series is many tasks. In buckets, frames of time may hold any number of irregular rows: sums come from running sums,
+minima, medians and the like from one walk over the bucket, so that the work grows with the rows and not with rows times frame.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.aggregates import over
 from ..functions.durations import function_name, micros, readable
@@ -37,6 +40,53 @@ class Meta:
     relative_lags: bool
 
 
+@dataclass(frozen=True)
+class Frame:
+    """An aggregate over the last ``width`` microseconds, of ``least`` values at least."""
+
+    name: str
+    function: str
+    width: int
+    least: int
+
+
+_SUMS = ("count", "sum", "mean", "var", "std")
+
+
+def by_sums(f: Frame, window) -> Column:
+    """Counts and sums of a frame as differences of running ones, which grow row by row; about the partition's mean, in column _m_<name>,
+    so that no digits are lost."""
+    until, before = (window.rangeBetween(Window.unboundedPreceding, end) for end in (0, -f.width))
+    mid = F.col(f"`_m_{f.name}`")
+    off = F.col(f.name) - mid
+    total = lambda c: F.coalesce(F.sum(c).over(until), F.lit(0.0)) - F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    n = F.count(f.name).over(until) - F.count(f.name).over(before)
+    if f.function == "count":
+        value = n
+    elif f.function in ("sum", "mean"):
+        value = mid * n + total(off) if f.function == "sum" else mid + total(off) / n
+    else:
+        var = F.when(n > 1, F.greatest(total(off * off) - total(off) * total(off) / n, F.lit(0.0)) / (n - 1))
+        value = var if f.function == "var" else F.sqrt(var)
+    return F.when(n >= f.least, value)
+
+
+def by_walk(df: DataFrame, by: Sequence[str], frames: dict[str, Frame]) -> DataFrame:
+    """Order statistics and moments of frames, each in one walk over a partition (a series' bucket): what enters and leaves a frame updates its state."""
+    schema = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in frames)])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_us", kind="stable")
+        at = pd.to_datetime(pdf["_us"], unit="us")
+        for name, f in frames.items():
+            values = pd.Series(pdf[f.name].to_numpy("f8"), index=at).rolling(pd.Timedelta(f.width, "us"), min_periods=f.least)
+            # rows of one time have one frame, the last one's
+            pdf[name] = getattr(values, f.function)().groupby(pdf["_us"].to_numpy()).transform("last").to_numpy()
+        return pdf
+
+    return df.groupBy(*by).applyInPandas(walk, schema).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in frames})
+
+
 @dataclass
 class Transform:
     """Roll or bin ``names`` with ``functions``, then lag. lag > 0 looks back, < 0 ahead. ``bins`` are pairs' edges in steps, the
@@ -50,8 +100,8 @@ class Transform:
     bins: Sequence[int] = ()
     by_function: bool = False  # order of the columns of bins
 
-    def compile(self, dt: int, window) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]], list[Meta]]:
-        """(aggregates, columns over them, their metadata)."""
+    def compile(self, dt: int, window, wide: bool = False) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]], list[Meta]]:
+        """(aggregates, columns over them, their metadata). ``wide``: frames of time may hold many rows, so none is aggregated row by row."""
         aggregates, columns, metas = [], [], []
         width = micros(self.freq) if isinstance(self.freq, str) else (self.freq or 1) * dt
         steps = max(1, width // dt)
@@ -70,7 +120,10 @@ class Transform:
                 frame = window.rangeBetween(-width + 1, 0)
                 for fn in self.functions:
                     out = f"{name}_{readable(width)}_{function_name(fn)}"
-                    aggregates.append((out, F.when(F.count(name).over(frame) >= steps, over(fn, F.col(name), frame))))
+                    if wide and isinstance(fn, str):
+                        aggregates.append((out, Frame(name, fn, width, steps)))
+                    else:
+                        aggregates.append((out, F.when(F.count(name).over(frame) >= steps, over(fn, F.col(name), frame))))
                     base.append((out, function_name(fn), -width, 0))
             else:
                 base.append((name, None, 0, 0))
@@ -137,9 +190,10 @@ class Features:
 
     def _compiled(self):
         window = Window.partitionBy(*self.by, *(["_bucket"] if self.bucket else [])).orderBy("_us")
-        features = [t.compile(self.step, window) for t in self.transforms]
-        targets = [t.compile(self.step, window) for t in self.targets]
-        normal = {n: t.compile(self.step, window) for n, (_, t) in self.normalizers.items()}
+        wide = bool(self.bucket)
+        features = [t.compile(self.step, window, wide) for t in self.transforms]
+        targets = [t.compile(self.step, window, wide) for t in self.targets]
+        normal = {n: t.compile(self.step, window, wide) for n, (_, t) in self.normalizers.items()}
         return features, targets, normal
 
     def metadata(self, *, target: bool = False) -> list[Meta]:
@@ -211,7 +265,7 @@ class Features:
             for aggregates, columns, _ in layer:
                 made = {n: c for n, c in aggregates if n not in out.columns}
                 if made:
-                    out = out.withColumns(made)
+                    out = self._made(out, made)
                 if lagged := {n: c for n, c in columns if n not in out.columns}:
                     out = out.withColumns(lagged)
         names, aims = self.feature_names(), self.target_names()
@@ -229,6 +283,17 @@ class Features:
         out = out.select(*(own if self.augment else keys), *[c for c in derived if not self.augment or c not in own])
         return time_features(out, self.ts, self.zone) if self.calendar else out
 
+    def _made(self, out: DataFrame, made: dict) -> DataFrame:
+        window = Window.partitionBy(*self.by, "_bucket").orderBy("_us")
+        frames = {n: f for n, f in made.items() if isinstance(f, Frame)}
+        walked = {n: f for n, f in frames.items() if f.function not in _SUMS}
+        if walked:
+            out = by_walk(out, [*self.by, "_bucket"], walked)
+        means = {f"_m_{f.name}": F.avg(f.name).over(Window.partitionBy(*self.by, "_bucket")) for f in frames.values() if f.function in _SUMS}
+        out = out.withColumns({n: c for n, c in means.items() if n not in out.columns}) if means else out
+        sums = {n: by_sums(f, window) for n, f in frames.items() if f.function in _SUMS}
+        return out.withColumns({n: sums.get(n, c) for n, c in made.items() if n not in walked}) if len(walked) < len(made) else out
+
     def denormalize(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
         """Back from normalised targets, or predictions of them, where the normalizers' columns are there."""
         return df.withColumns({c: F.expr(self.expressions[1].format(t=f"`{c}`")) for c in columns})

@@ -112,22 +112,22 @@ def fmt_lag_lead(spark, d):
     return rounded(out, "y", "y_lag_001", "y_lag_024", "y_lag_-002")
 
 
-_ROLL = ", ".join(f"round(CASE WHEN count(value) OVER w >= 3 THEN {f}(value) OVER w END, 8) AS value_6h_{n}" for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"), ("std", "stddev_samp"), ("sum", "sum")))
+_ROLL = ", ".join(f"round(CASE WHEN count(value) OVER w >= 3 THEN {f}(value) OVER w END, 8) AS value_6h_{n}" for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"), ("median", "median"), ("std", "stddev_samp"), ("sum", "sum")))
 
 
 @query(f"""SELECT event_id, {_ROLL}, CASE WHEN count(value) OVER w >= 3 THEN CAST(count(value) OVER w AS DOUBLE) END AS value_6h_count
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW)""")
 def fmt_rolling_stats(spark, d):
     """Time frames over irregular events; every type is cut into buckets of two days."""
-    plan = Features("2h", ["event_type"], bucket="2d").add(["value"], ["mean", "min", "max", "std", "sum", "count"], "6h")
+    plan = Features("2h", ["event_type"], bucket="2d").add(["value"], ["mean", "min", "max", "median", "std", "sum", "count"], "6h")
     out = plan.transform(table(spark, d, "events"), drop_nulls=False)
     out = out.withColumn("value_6h_count", F.col("value_6h_count").cast("double"))
-    return rounded(out.select("event_id", *plan.feature_names()), *[f"value_6h_{f}" for f in ("mean", "min", "max", "std", "sum")])
+    return rounded(out.select("event_id", *plan.feature_names()), *[f"value_6h_{f}" for f in ("mean", "min", "max", "median", "std", "sum")])
 
 
 @query(f"""WITH {P_SQL} SELECT name, ts, round(CASE WHEN count(y) OVER w >= 6 THEN median(y) OVER w END, 8) AS y_6h_median FROM panel WINDOW w AS (PARTITION BY name ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 def fmt_rolling_median(spark, d):
-    """An exact median sorts every frame anew; it suits frames of few rows."""
+    """Over a regular panel, frames of few rows."""
     plan = Features("1h", ["name"], augment=False).add(["y"], ["median"], "6h")
     return rounded(plan.transform(panel(spark, d), drop_nulls=False), "y_6h_median")
 

@@ -34,5 +34,8 @@ def infer_step(df: DataFrame, *, ts: str = "ts", by: Sequence[str] = ()) -> int:
     """Median distance of successive times, in microseconds."""
     from pyspark.sql import Window
 
+    from ..operators.quantiles import exact_quantiles
+
     gap = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(Window.partitionBy(*by).orderBy(ts))
-    return int(df.select(gap.alias("gap")).agg(F.median("gap")).first()[0])
+    median = exact_quantiles(df.select(gap.alias("gap")), "gap", [0.5]).first()
+    return int(median["_q"][0])
