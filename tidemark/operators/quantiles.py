@@ -24,8 +24,9 @@ def exact_quantiles(df: DataFrame, col: str, alphas: Sequence[float], *, by: Seq
     greatest value in it, is the next interval. Each round narrows an interval by the number of cells, so a few are enough. Nulls and
     NaN don't count; infinite values count as the largest doubles. Runs jobs while it is called, on the written column.
     """
-    v = F.greatest(F.least(F.col(col).cast("double"), F.lit(_MOST)), F.lit(-_MOST))
-    own = written(df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan(F.col(col))), "values")
+    v = F.col(col).cast("double")
+    there = df.filter(v.isNotNull() & ~F.isnan(v))
+    own = written(there.select(*by, F.greatest(F.least(v, F.lit(_MOST)), F.lit(-_MOST)).alias("_v")), "values")
     if own.count() <= FEW or own.select(*by).distinct().count() > GROUPS:
         return own.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(a)) for a in alphas])).alias("_q"))
     spans = own.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()  # GROUPS rows at most

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scenarios import glasso
+from .splits import place
+
 
 @dataclass
 class Hierarchy:
@@ -49,27 +52,32 @@ class Hierarchy:
         return s
 
 
-def shrunk_covariance(e: np.ndarray, shrinkage: float = 0.1) -> np.ndarray:
-    s = np.atleast_2d(np.cov(e, rowvar=False, ddof=0))
+def shrunk(s: np.ndarray, shrinkage: float = 0.1) -> np.ndarray:
     return (1 - shrinkage) * s + shrinkage * np.trace(s) / len(s) * np.eye(len(s))
 
 
+def shrunk_covariance(e: np.ndarray, shrinkage: float = 0.1) -> np.ndarray:
+    return shrunk(np.atleast_2d(np.cov(e, rowvar=False, ddof=0)), shrinkage)
+
+
 def projection(h: Hierarchy, method: str = "ols", covariance: np.ndarray | None = None) -> np.ndarray:
-    """The matrix that takes the nodes' forecasts to reconciled ones, S P. ols; mint: weighted by the errors' precision; bayes: the bottoms
-    conditioned on what is known of the aggregates."""
+    """The matrix that takes the nodes' forecasts to reconciled ones, S P, from the errors' covariance. ols; mint: weighted by the precision of the shrunk
+    covariance, mint_glasso: of the sparse one; bayes: the bottoms conditioned on what is known of the aggregates, each with a shrunk covariance
+    of its own; a single aggregate is known as well as its errors' deviation says."""
     s = h.summing()
     n_up = len(h.children)
     if method == "bayes":
         a = s[:n_up]
-        top, low = covariance[:n_up, :n_up], covariance[n_up:, n_up:]
+        low = shrunk(covariance[n_up:, n_up:])
+        top = np.sqrt(covariance[:1, :1]) if n_up < 2 else shrunk(covariance[:n_up, :n_up])
         g = low @ a.T @ np.linalg.pinv(top + a @ low @ a.T)
         return s @ np.hstack([g, np.eye(s.shape[1]) - g @ a])
-    w = np.eye(len(s)) if method == "ols" else np.linalg.pinv(covariance)
+    w = np.eye(len(s)) if method == "ols" else np.linalg.pinv(glasso(covariance, 0.1 * float(np.abs(covariance - np.diag(np.diag(covariance))).max())) if method == "mint_glasso" else shrunk(covariance))
     return s @ np.linalg.solve(s.T @ w @ s, s.T @ w)
 
 
 def error_moments(errors: DataFrame, h: Hierarchy, *, step: str = "step") -> dict[int, np.ndarray]:
-    """Shrunk covariance of the nodes' errors at each step, from sums: nodes squared numbers a step reach the driver."""
+    """Covariance of the nodes' errors at each step, from sums: nodes squared numbers a step reach the driver."""
     wide = errors.groupBy("ts", step).pivot("name", h.nodes).agg(F.first("e"))
     cols = [F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in h.nodes]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
@@ -78,7 +86,7 @@ def error_moments(errors: DataFrame, h: Hierarchy, *, step: str = "step") -> dic
         c = np.zeros((len(cols), len(cols)))
         for (i, j), v in zip(pairs, r[1:], strict=True):
             c[i, j] = c[j, i] = v or 0.0
-        out[r[0]] = 0.9 * c + 0.1 * np.trace(c) / len(c) * np.eye(len(c))
+        out[r[0]] = c
     return out
 
 
@@ -100,7 +108,7 @@ def reconcile(forecasts: DataFrame, h: Hierarchy, matrices: np.ndarray | dict[in
 
 
 def bootstrap_scenarios(forecasts: DataFrame, errors: DataFrame, n: int, *, seed: int = 0, ts: str = "ts") -> DataFrame:
-    """(.., scenario, f): forecasts plus whole rows of training errors of the same hour, drawn by a hash of (ts, scenario).
+    """(.., scenario, f): forecasts plus whole rows of training errors of the same hour, drawn by the digest of (ts, scenario, seed).
 
     errors: (ts, name, step, e). A row's errors stay together over names and steps. The rank of an error row within its hour is the join key."""
     from pyspark.sql import Window
@@ -109,7 +117,7 @@ def bootstrap_scenarios(forecasts: DataFrame, errors: DataFrame, n: int, *, seed
     ranked = hours.select("hour", F.col(ts).alias("_from"), F.row_number().over(Window.partitionBy("hour").orderBy(ts)).alias("_k"))
     counts = hours.groupBy("hour").agg(F.count("*").alias("_n"))
     times = forecasts.select(ts).distinct().withColumn("hour", F.hour(ts)).join(F.broadcast(counts), "hour")  # 24 rows
-    drawn = times.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_k", (F.pmod(F.xxhash64(ts, "scenario", F.lit(seed)), F.col("_n")) + 1).cast("int"))
+    drawn = times.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_k", (F.pmod(place(F.unix_micros(ts), F.col("scenario"), F.lit(seed)), F.col("_n")) + 1).cast("int"))
     rows = drawn.join(ranked, ["hour", "_k"]).select(ts, "scenario", "_from")
     e = errors.select(F.col(ts).alias("_from"), "name", "step", "e")
     return forecasts.join(rows, ts).join(e, ["_from", "name", "step"]).withColumn("f", F.col("f") + F.col("e")).drop("_from", "e")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,8 +54,13 @@ def _checked(cap) -> int:
     return cap
 
 
-def _place(keys: Sequence[str], seed: int):
-    return F.xxhash64(*keys, F.lit(seed))
+def place(*values: Column) -> Column:
+    """A number below 2^48 that depends on the values alone: the head of their digest, which other engines can compute too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[v.cast("string") for v in values])), 1, 12), 16, 10).cast("bigint")
+
+
+def _place(keys: Sequence[str], seed: int) -> Column:
+    return place(*map(F.col, keys), F.lit(seed))
 
 
 def sample_rows(df: DataFrame, rows: int, *, seed: int = 0, keys: Sequence[str] = ("ts",)) -> DataFrame:

@@ -208,3 +208,10 @@ def tune(df: DataFrame, make, space: dict[str, tuple[float, float]], trials: int
 
     each = df.crossJoin(F.broadcast(table)).groupBy("trial", *by).applyInPandas(run, "trial int, parameters string, mse double")  # a row for each trial, of a given number
     return each.groupBy("trial", "parameters").agg(F.avg("mse").alias("mse"))
+
+
+def best(trials: DataFrame) -> dict[str, float]:
+    """The parameters of the trial of least error."""
+    from pyspark.sql import functions as F
+
+    return json.loads(trials.agg(F.min_by("parameters", F.struct("mse", "trial"))).first()[0])

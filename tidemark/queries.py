@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import aggregates as agg
-from .operators import forecasts, holidays, learners, metrics, reconcile, scenarios, splits, stateful, windows
+from .operators import forecasts, holidays, learners, metrics, models, reconcile, scenarios, splits, stateful, windows
 from .plans.features import Features, global_form, time_features
-from .sources.series import bucket_start, fill_calendar, resample
+from .sources.series import bucket_start, fill_calendar, infer_step, resample
 from .sources.session import table
 from .sources.storage import written
 from .streaming import streams
@@ -143,6 +143,56 @@ def fmt_agg_bins(spark, d):
     return rounded(out, *plan.feature_names())
 
 
+@query(f"""WITH {P_SQL}, a AS (SELECT name, ts, CASE WHEN count(y) OVER w0 >= 2 THEN max(y) OVER w0 END AS a, CASE WHEN count(y) OVER w1 >= 2 THEN max(y) OVER w1 END AS b
+  FROM panel WINDOW w0 AS (PARTITION BY name ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING), w1 AS (PARTITION BY name ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))
+SELECT name, ts, {', '.join(f'round(lag({c}, {4 * k}) OVER v, 8) AS y_max_{n}_lag_00{k}' for c, n in (('a', '4_2'), ('b', '2_0')) for k in (1, 2))} FROM a WINDOW v AS (PARTITION BY name ORDER BY ts)""")
+def fmt_bins_lags(spark, d):
+    """Bins, then lags in units of all bins."""
+    plan = Features("1h", ["name"], augment=False).add(["y"], ["max"], bins=[4, 2, 0], lags=[1, 2], relative=True)
+    return rounded(plan.transform(panel(spark, d), drop_nulls=False), *plan.feature_names())
+
+
+@query(f"""WITH {P_SQL} SELECT name, ts, {', '.join(f'round(CASE WHEN count(y) OVER w{i} >= 2 THEN {f}(y) OVER w{i} END, 8) AS "y_{n}_{a}"' for n, f in (('mean', 'avg'), ('min', 'min')) for i, a in enumerate(('4_2', '2_0')))}
+FROM panel WINDOW w0 AS (PARTITION BY name ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING), w1 AS (PARTITION BY name ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""")
+def fmt_bins_by_function(spark, d):
+    """The columns of one function side by side, bins within."""
+    plan = Features("1h", ["name"], augment=False).add(["y"], ["mean", "min"], bins=[4, 2, 0], by_function=True)
+    return rounded(plan.transform(panel(spark, d), drop_nulls=False), *plan.feature_names())
+
+
+@query("""WITH g AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) SELECT CAST(floor(median(gap)) AS BIGINT) AS step_us FROM g""")
+def step_of_events(spark, d):
+    return spark.createDataFrame([(infer_step(table(spark, d, "events"), by=["event_type"]),)], "step_us long")
+
+
+@query("""SELECT event_id, round(value, -1) AS tens, value > (SELECT avg(value) FROM events) AS high FROM events""")
+def binary_preparation(spark, d):
+    own = table(spark, d, "events").select("event_id", F.round("value", -1).alias("tens"), F.col("value").alias("high"))
+    return models.above_mean(own, ["high"])
+
+
+_ORDER = [f"{{r: CASE WHEN isfinite(c{k}) THEN c{k} ELSE -2 END, i: -{k}, v: x{k}}}" for k in (1, 2, 3)]
+
+
+@query(f"""WITH {P_SQL}, x AS (SELECT name, ts, y, lag(y, 1) OVER w AS x1, lag(y, 5) OVER w AS x2, lag(y, 24) OVER w AS x3 FROM panel WINDOW w AS (PARTITION BY name ORDER BY ts)),
+c AS (SELECT corr(y, x1) AS c1, corr(y, x2) AS c2, corr(y, x3) AS c3 FROM x), s AS (SELECT name, ts, list_transform(list_reverse_sort([{', '.join(_ORDER)}]), lambda e: e.v) AS l FROM x, c)
+SELECT name, ts, round(l[1], 8) AS y_lag_001, round(l[2], 8) AS y_lag_005, round(l[3], 8) AS y_lag_024 FROM s""")
+def correlation_reorder(spark, d):
+    """Values of the lags that go with the target most, first, under the names of the lags."""
+    plan = Features("1h", ["name"]).add(["y"], lags=[1, 5, 24])
+    own = written(plan.transform(panel(spark, d), drop_nulls=False), "lagged")
+    names = plan.feature_names()
+    return rounded(models.reorder(own, names, models.correlation_order(own, names, "y")).select("name", "ts", *names), *names)
+
+
+@query(f"""WITH {P_SQL}, t AS (SELECT name, CAST(extract(hour FROM ts) * 3600 AS INTEGER) AS tod, avg(y) AS usual FROM panel WHERE extract(hour FROM ts) < 18 GROUP BY ALL)
+SELECT p.name, p.ts, round(usual, 8) AS usual FROM panel p LEFT JOIN t ON t.name = p.name AND t.tod = extract(hour FROM p.ts) * 3600""")
+def tod_lookup(spark, d):
+    own = panel(spark, d).select("name", "ts", "y")
+    usual = own.filter(F.hour("ts") < 18).groupBy("name", (F.hour("ts") * 3600).alias("tod")).agg(F.avg("y").alias("usual"))
+    return rounded(models.time_of_day_lookup(own, usual, ["usual"], by=["name"]).select("name", "ts", "usual"), "usual")
+
+
 @query(f"""WITH {P_SQL}, a AS (SELECT name, ts, CASE WHEN count(y) OVER w >= 4 THEN avg(y) OVER w END AS m FROM panel WINDOW w AS (PARTITION BY name ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
 SELECT name, ts, round(lag(m, 4) OVER v, 8) AS y_4h_mean_lag_001, round(lag(m, 8) OVER v, 8) AS y_4h_mean_lag_002 FROM a WINDOW v AS (PARTITION BY name ORDER BY ts)""")
 def fmt_relative_lags(spark, d):
@@ -404,6 +454,13 @@ def err_distr_hourly(spark, d):
     return rounded(forecasts.residual_quantiles(steps_ahead(spark, d), LEVELS).select(F.col("hour").cast("int").alias("hour"), "step", "alpha", "e"), "e")
 
 
+@query(f"""WITH {R_SQL}, e AS (SELECT step, y - f AS e FROM ahead WHERE y IS NOT NULL AND f IS NOT NULL), q AS (SELECT step, quantile_cont(e, [0.1, 0.5, 0.9]) AS q FROM e GROUP BY 1)
+SELECT CAST(h.hour AS INTEGER) AS hour, step, a.alpha, round(q[a.k], 8) AS e FROM q, (SELECT unnest(range(24)) AS hour) h, (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 0.9::DOUBLE)) a(k, alpha)""")
+def err_distr_global(spark, d):
+    out = forecasts.residual_quantiles(steps_ahead(spark, d), LEVELS, by_hour=False)
+    return rounded(out.select(F.col("hour").cast("int").alias("hour"), "step", "alpha", "e"), "e")
+
+
 @query(_ERR + " SELECT name, ts, a.step, er.alpha, round(a.f + er.e, 8) AS q FROM ahead a JOIN er ON er.hour = extract(hour FROM a.ts) AND er.step = a.step WHERE a.f IS NOT NULL AND a.y IS NOT NULL")
 def predict_quantiles(spark, d):
     own = written(steps_ahead(spark, d).dropna(subset=["y", "f"]), "ahead")
@@ -429,7 +486,7 @@ def interp_quantiles(spark, d):
 @query(f"""WITH {P_SQL}, a AS (SELECT x.name AS nx, z.name AS nz, CAST(extract(hour FROM x.ts) AS INTEGER) AS hour, x.y AS a, z.y AS b FROM panel x JOIN panel z ON x.ts = z.ts),
 names AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT name FROM panel)),
 c AS (SELECT nx, nz, hour, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n, covar_pop(a, b) AS cov FROM a GROUP BY ALL), v AS (SELECT nx, hour, cov AS var FROM c WHERE nx = nz)
-SELECT c.hour, p.i, q.i AS j, round(cov / (sqrt(v.var) * sqrt(w.var)), 8) AS r FROM c JOIN v ON v.nx = c.nx AND v.hour = c.hour JOIN v w ON w.nx = c.nz AND w.hour = c.hour JOIN names p ON p.name = c.nx JOIN names q ON q.name = c.nz""")
+SELECT c.hour, p.i, q.i AS j, round(cov / (sqrt(v.var) * sqrt(w.var)) + CASE WHEN p.i = q.i THEN 1e-6 ELSE 0 END, 8) AS r FROM c JOIN v ON v.nx = c.nx AND v.hour = c.hour JOIN v w ON w.nx = c.nz AND w.hour = c.hour JOIN names p ON p.name = c.nx JOIN names q ON q.name = c.nz""")
 def corr_by_hour(spark, d):
     own = wide(spark, d)
     return rounded(scenarios.hourly_correlation(own, [c for c in own.columns if c != "ts"]).withColumn("hour", F.col("hour").cast("int")), "r")
@@ -456,6 +513,55 @@ def linear_gram(spark, d):
     return forecasts.fit_linear(own, ["y_lag_001"], ["y"]).predict(own.filter("y_lag_001 is not null")).select("name", "ts", r("y_hat", 4).alias("f"))
 
 
+def _one_lag(spark, d):
+    return written(Features("1h", ["name"]).add(["y"], lags=[1]).transform(panel(spark, d)).select("name", "ts", "y", "y_lag_001"), "lagged")
+
+
+_LAG1 = f"""WITH {P_SQL}, x AS (SELECT * FROM (SELECT name, ts, y, lag(y, 1) OVER (PARTITION BY name ORDER BY ts) AS x FROM panel) WHERE x IS NOT NULL), b AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM x),
+lin AS (SELECT name, ts, y, x * s + i AS f FROM x, b)"""
+
+
+@query(_LAG1 + " SELECT 'linear' AS model, round(sqrt(avg((f - y) * (f - y))), 8) AS rmse, round((SELECT sqrt(avg((x - y) * (x - y))) FROM x), 8) AS identity_rmse FROM lin")
+def model_scores(spark, d):
+    """One number a model, as a search compares them."""
+    own, score = _one_lag(spark, d), models.scorer(metrics.rmse(), ["y"])
+    value = [score(models.MODELS[m](own, ["y_lag_001"], ["y"]), own) for m in ("linear", "identity")]
+    return rounded(spark.createDataFrame([("linear", *value)], "model string, rmse double, identity_rmse double"), "rmse", "identity_rmse")
+
+
+@query(f"WITH {P_SQL} SELECT * FROM (SELECT name, ts, round(lag(y, 1) OVER (PARTITION BY name ORDER BY ts), 8) AS y_hat FROM panel) WHERE y_hat IS NOT NULL")
+def model_identity(spark, d):
+    own = Features("1h", ["name"]).add(["y"], lags=[1]).transform(panel(spark, d))
+    return rounded(models.Identity(["y_lag_001"], ["y"]).predict(own).select("name", "ts", "y_hat"), "y_hat")
+
+
+@query(_LAG1 + """, e AS (SELECT extract(hour FROM ts) AS hour, quantile_cont(y - f, [0.1, 0.5, 0.9]) AS q FROM lin WHERE y IS NOT NULL GROUP BY 1)
+SELECT name, ts, 1 AS step, a.alpha, round(f + q[a.k], 6) AS q FROM lin JOIN e ON e.hour = extract(hour FROM ts), (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 0.9::DOUBLE)) a(k, alpha)""")
+def model_quantiles(spark, d):
+    """Any fitted model's quantiles: its forecast and its errors' at the hour."""
+    own = _one_lag(spark, d)
+    return models.fit_uncertain(own, ["y_lag_001"], ["y"], alphas=LEVELS).quantiles(own).withColumn("q", r("q", 6))
+
+
+@query(_LAG1.replace(", b AS (SELECT regr_slope", f""", m AS (SELECT avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS a, regr_sxy(y, x) AS c, regr_syy(y, x) AS yy, regr_count(y, x) AS n FROM x WHERE y IS NOT NULL),
+g AS (SELECT alpha, c / (a + alpha) AS w, (yy - 2 * c * c / (a + alpha) + a * (c / (a + alpha)) ** 2) / (n - 1 - a / (a + alpha)) ** 2 AS gcv FROM m, (VALUES {', '.join(f'(10.0::DOUBLE ** {x})' for x in np.linspace(-2, 8, 9))}) t(alpha)),
+best AS (SELECT arg_min(w, gcv) AS w FROM g), b AS (SELECT regr_slope""") + " SELECT name, ts, round(my + (x - mx) * w, 4) AS y_hat FROM x, m, best")
+def model_ridge_single(spark, d):
+    own = _one_lag(spark, d)
+    return forecasts.fit_ridge(own, ["y_lag_001"], ["y"]).predict(own).select("name", "ts", r("y_hat", 4).alias("y_hat"))
+
+
+@query(f"""WITH {P_SQL}, f AS (SELECT name, ts, y, lag(y, 1) OVER w AS a, lag(y, 24) OVER w AS b FROM panel WINDOW w AS (PARTITION BY name ORDER BY ts)),
+s AS (SELECT CAST(t AS INTEGER) AS trial, extract(hour FROM ts) // 6 AS fold, avg(abs(CASE t WHEN 0 THEN a ELSE b END - y)) AS score FROM f, (VALUES (0), (1)) v(t) WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+o AS (SELECT trial, avg(score) AS score, stddev_samp(score) AS std FROM s GROUP BY 1)
+SELECT trial, round(score, 8) AS score, round(std, 8) AS std, CAST(dense_rank() OVER (ORDER BY score) AS INTEGER) AS rank, score = (SELECT min(score) FROM o) AS best FROM o""")
+def trial_scores(spark, d):
+    """Two ways to forecast on four folds: their mean, its deviation over folds, rank, and the one to take."""
+    own = Features("1h", ["name"]).add(["y"], lags=[1, 24]).transform(panel(spark, d)).dropna(subset=["y"])
+    each = own.withColumn("fold", F.floor(F.hour("ts") / 6)).select("y", "fold", F.posexplode(F.array("y_lag_001", "y_lag_024")).alias("trial", "f"))
+    return rounded(models.trial_summary(each.groupBy("trial", "fold").agg(F.avg(F.abs(F.col("f") - F.col("y"))).alias("score"))), "score", "std")
+
+
 # -- hierarchy -------------------------------------------------------------------------------------
 
 _REG = """m0 AS (SELECT r_name AS name, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts, sum(o_totalprice) / 1e6 AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
@@ -493,15 +599,28 @@ def _reconciled(spark, d, method):
     h = _tree(spark, d)
     own = written(regions(spark, d).withColumn("step", F.lit(1)).dropna(subset=["f"]), "regions")
     cov = reconcile.error_moments(own.select("ts", "name", "step", (F.col("y") - F.col("f")).alias("e")), h)
-    return rounded(reconcile.reconcile(own, h, {k: reconcile.projection(h, method, c) for k, c in cov.items()}), "f")
+    out = reconcile.reconcile(own, h, {k: reconcile.projection(h, method, c) for k, c in cov.items()}).filter("f is not null")
+    return out.withColumn("f", r("f", 6))
 
 
-@query()
+# With one constraint, the total less its parts, both methods share the gap out: by the covariances' columns, or by the parts' covariance alone.
+_COV = f"""WITH {_REG}, k AS (SELECT DISTINCT ts FROM b WHERE f IS NOT NULL), nm AS (SELECT DISTINCT name FROM m),
+e AS (SELECT k.ts, nm.name, coalesce(b.y - b.f, 0) AS e FROM k CROSS JOIN nm LEFT JOIN b ON b.ts = k.ts AND b.name = nm.name AND b.f IS NOT NULL),
+c0 AS (SELECT x.name AS i, z.name AS j, covar_pop(x.e, z.e) AS c FROM e x JOIN e z ON x.ts = z.ts GROUP BY ALL),
+gap AS (SELECT ts, sum(CASE WHEN name = 'TOTAL' THEN f ELSE -f END) AS gap FROM b WHERE f IS NOT NULL GROUP BY 1 HAVING count(*) = 6)"""
+
+
+@query(_COV + """, c AS (SELECT i, j, 0.9 * c + CASE WHEN i = j THEN 0.1 * (SELECT sum(c) / 6 FROM c0 WHERE i = j) ELSE 0 END AS c FROM c0),
+w AS (SELECT i, sum(CASE WHEN j = 'TOTAL' THEN c ELSE -c END) AS w FROM c GROUP BY 1), t AS (SELECT sum(CASE WHEN i = 'TOTAL' THEN w ELSE -w END) AS t FROM w)
+SELECT b.ts, 1 AS step, b.name, round(b.f - w.w / t.t * gap.gap, 6) AS f FROM b JOIN gap USING (ts) JOIN w ON w.i = b.name, t""")
 def reconcile_mint(spark, d):
     return _reconciled(spark, d, "mint")
 
 
-@query()
+@query(_COV + """, low AS (SELECT i, j, 0.9 * c + CASE WHEN i = j THEN 0.1 * (SELECT sum(c) / 5 FROM c0 WHERE i = j AND i <> 'TOTAL') ELSE 0 END AS c FROM c0 WHERE i <> 'TOTAL' AND j <> 'TOTAL'),
+g AS (SELECT i, sum(c) / ((SELECT sqrt(c) FROM c0 WHERE i = 'TOTAL' AND j = 'TOTAL') + (SELECT sum(c) FROM low)) AS g FROM low GROUP BY 1),
+o AS (SELECT b.ts, b.name, b.f + g.g * gap.gap AS f FROM b JOIN gap USING (ts) JOIN g ON g.i = b.name)
+SELECT ts, 1 AS step, name, round(f, 6) AS f FROM o UNION ALL SELECT ts, 1, 'TOTAL', round(sum(f), 6) FROM o GROUP BY ts""")
 def reconcile_bayes(spark, d):
     return _reconciled(spark, d, "bayes")
 
@@ -514,29 +633,71 @@ def hierarchy_kpi(spark, d):
 
 
 @query()
+def reconcile_mint_glasso(spark, d):
+    return _reconciled(spark, d, "mint_glasso")
+
+
+@query(f"""WITH {_REG}, o AS (SELECT name, ts, f, y - f AS e FROM b WHERE f IS NOT NULL), t AS (SELECT DISTINCT ts FROM o),
+k AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM t),
+s AS (SELECT t.ts, sc.scenario, CAST('0x' || substr(md5(concat_ws('/', epoch_us(t.ts), sc.scenario, 0)), 1, 12) AS BIGINT) % (SELECT max(n) FROM k) + 1 AS i FROM t, (SELECT unnest(range(20)) AS scenario) sc),
+x AS (SELECT o.ts, o.name, o.f + e.e AS f FROM o JOIN s ON s.ts = o.ts JOIN k ON k.i = s.i JOIN o e ON e.ts = k.ts AND e.name = o.name)
+SELECT ts, name, 1 AS step, a.alpha, round(quantile_cont(f, [0.1, 0.5, 0.9])[a.k], 4) AS q FROM x, (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 0.9::DOUBLE)) a(k, alpha) GROUP BY ts, name, a.alpha, a.k""")
 def reconcile_bootstrap_quantiles(spark, d):
     own = written(regions(spark, d).withColumn("step", F.lit(1)).dropna(subset=["f"]), "regions")
     errors = own.select("ts", "name", "step", (F.col("y") - F.col("f")).alias("e"))
     drawn = reconcile.bootstrap_scenarios(own.select("ts", "name", "step", "f"), errors, 20)
-    return rounded(reconcile.scenario_quantiles(drawn, LEVELS), "q")
+    return reconcile.scenario_quantiles(drawn, LEVELS).withColumn("q", r("q", 4))
+
+
+_TREE = f"""WITH {_REG}, x AS (SELECT name, ts, y, lag(y, 1) OVER (PARTITION BY name ORDER BY ts) AS x FROM m), k AS (SELECT *, CASE WHEN name = 'TOTAL' THEN name ELSE 'bottom' END AS model FROM x WHERE x IS NOT NULL),
+p AS (SELECT model, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM k GROUP BY 1), b2 AS (SELECT name, ts, y, x * s + i AS f FROM k JOIN p USING (model))"""
+
+
+def _tree_models(spark, d):
+    """A linear model of the total, and one of all regions, on last month's sales."""
+    own = Features("1h", ["name"]).add(["y"], lags=[1]).transform(regions(spark, d).select("name", "ts", "y"))
+    own = written(own, "regions")
+    return own, models.fit_tree(own, _tree(spark, d), ["y_lag_001"], ["y"])
+
+
+@query(_TREE + " SELECT name, ts, 1 AS step, round(f, 4) AS f FROM b2")
+def hierarchy_models(spark, d):
+    own, fitted = _tree_models(spark, d)
+    return fitted.predict(own).select("name", "ts", "step", r("f", 4).alias("f"))
+
+
+@query(_TREE + """, t AS (SELECT ts, sum(CASE WHEN name = 'TOTAL' THEN f ELSE 0 END) AS top, sum(CASE WHEN name <> 'TOTAL' THEN f ELSE 0 END) AS low FROM b2 GROUP BY 1 HAVING count(*) = 6),
+o AS (SELECT b2.ts, name, f + (top - low) / 6 AS f FROM b2 JOIN t USING (ts) WHERE name <> 'TOTAL' UNION ALL SELECT ts, 'TOTAL', low + 5 * (top - low) / 6 FROM t) SELECT ts, 1 AS step, name, round(f, 4) AS f FROM o""")
+def hierarchy_models_reconciled(spark, d):
+    own, fitted = _tree_models(spark, d)
+    h = _tree(spark, d)
+    out = reconcile.reconcile(fitted.predict(own), h, reconcile.projection(h)).filter("f is not null")
+    return out.withColumn("f", r("f", 4))
 
 
 # -- samples ---------------------------------------------------------------------------------------
 
 
-@query()
+_PLACE = "CAST('0x' || substr(md5(concat_ws('/', event_id, 0)), 1, 12) AS BIGINT)"
+
+
+@query(f"SELECT event_id, ts FROM events ORDER BY {_PLACE}, event_id LIMIT 200")
 def sample_uniform(spark, d):
     return splits.sample_rows(table(spark, d, "events").select("event_id", "ts"), 200, keys=["event_id"])
 
 
-@query()
+@query(f"""WITH h AS (SELECT extract(hour FROM ts) AS h, count(*) AS n, sum(count(*)) OVER () AS total FROM events GROUP BY 1),
+a AS (SELECT h, n, least(n, greatest(1, 200 * n // total)) AS s, (200 * n) % total AS rest FROM h),
+b AS (SELECT h, s + CASE WHEN row_number() OVER (ORDER BY rest DESC, CAST(h AS VARCHAR)) <= 200 - (SELECT sum(s) FROM a) THEN 1 ELSE 0 END AS quota FROM a),
+k AS (SELECT event_id, ts, row_number() OVER (PARTITION BY extract(hour FROM ts) ORDER BY {_PLACE}, event_id) AS i FROM events)
+SELECT event_id, ts FROM k JOIN b ON b.h = extract(hour FROM ts) WHERE i <= quota""")
 def sample_by_hour(spark, d):
     return splits.sample_by_hour(table(spark, d, "events").select("event_id", "ts"), 200, keys=["event_id"])
 
 
 @query()
 def bootstrap_mean(spark, d):
-    return learners.bootstrap(table(spark, d, "events"), "value", np.mean, 200, by=["event_type"])
+    return learners.bootstrap_mean(table(spark, d, "events"), "value", 700, by=["event_type"], keys=["event_id"])
 
 
 # -- stateful models --------------------------------------------------------------------------------
@@ -572,11 +733,28 @@ def model_fourier_kalman_mix(spark, d):
     return _walked(spark, d, stateful.FourierKalmanMix(2, 48, 6, 3))
 
 
-@query()
+_ES = "CASE WHEN k.y IS NULL THEN s.l + 0.95 * s.b ELSE k.y END"
+_ES_LEVEL = f"(0.3 * {_ES} + 0.7 * (s.l + 0.95 * s.b))"
+
+
+@query(f"""WITH RECURSIVE {P_SQL.lstrip()}, k AS (SELECT name, ts, y, row_number() OVER (PARTITION BY name ORDER BY ts) AS i FROM panel),
+s AS (SELECT name, i, ts, y, l, b FROM (SELECT name, 0 AS i, ts, y, coalesce(y, 0.0) AS l, 0.0::DOUBLE AS b FROM k WHERE i = 1)
+  UNION ALL SELECT k.name, k.i, k.ts, k.y, {_ES_LEVEL}, 0.05 * ({_ES_LEVEL} - s.l) + 0.95 * 0.95 * s.b FROM s JOIN k ON k.name = s.name AND k.i = s.i + 1)
+SELECT name, ts, y, round(l + 0.95 * b, 8) AS f1, round(l + ({' + '.join(f'0.95 ** {j}' for j in range(1, 7))}) * b, 8) AS f_last FROM s WHERE i > 0""")
 def model_exponential_smoothing(spark, d):
     return _walked(spark, d, stateful.SimpleSmoothing(6))
 
 
+@query()
+def model_exponential_smoothing_fitted(spark, d):
+    """The parameters of the least squared one-step error among those drawn, then the walk."""
+    from functools import partial
+
+    own = written(panel(spark, d), "panel")
+    trials = stateful.tune(own, partial(stateful.SimpleSmoothing, 1), {"alpha": (0.01, 0.6), "beta": (0.0, 0.2)}, 8)
+    return _walked(spark, d, stateful.SimpleSmoothing(6, **stateful.best(trials)))
+
+
 @query()
 def tune_holt_winters(spark, d):
     from functools import partial
@@ -584,7 +762,9 @@ def tune_holt_winters(spark, d):
     return stateful.tune(panel(spark, d), partial(stateful.HoltWinters, (24, 168), 1), {"alpha": (0.01, 0.5), "beta": (0.0, 0.01)}, 4)
 
 
-@query()
+@query(f"""WITH {P_SQL}, k AS (SELECT name, coalesce(y, 0) AS y, row_number() OVER (PARTITION BY name ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM panel),
+m AS (SELECT name, f, sum(y * cos(2 * pi() * ((f * i) % n) / n)) ** 2 + sum(y * sin(2 * pi() * ((f * i) % n) / n)) ** 2 AS m FROM k, (SELECT unnest(range(5000)) AS f) WHERE f < n // 2 GROUP BY ALL),
+t AS (SELECT name, f, row_number() OVER (PARTITION BY name ORDER BY m DESC, f) AS j FROM m) SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY f) AS INTEGER) AS rank, CAST(f + 1 AS INTEGER) AS frequency FROM t WHERE j <= 3""")
 def top_frequencies(spark, d):
     return learners.top_frequencies(panel(spark, d), "y", 3)
 
@@ -602,6 +782,46 @@ def _scenarios(spark, d, n=12):
     return scenarios.sample(full, corr, LEVELS, n, by=("name", "ts"))
 
 
+@query()
+def corr_glasso(spark, d):
+    own = steps_ahead(spark, d).dropna(subset=["y", "f"]).withColumn("e", F.col("y") - F.col("f")).groupBy("ts", "name").pivot("step", [1, 2, 3]).agg(F.first("e")).toDF("ts", "name", "e1", "e2", "e3")
+    return rounded(scenarios.hourly_correlation(written(own, "errors"), ["e1", "e2", "e3"], method="glasso_cv"), "r")
+
+
+def _uncertain(spark, d):
+    plan = Features("1h", ["name"]).add(["y"], lags=[0, 23]).add_target(["y"], lags=[-1, -2, -3])
+    own = written(plan.transform(panel(spark, d)).withColumnsRenamed({f"y_lag_-{k:03d}": f"t{k}" for k in (1, 2, 3)}), "lagged")
+    return own, models.fit_uncertain(own, ["y_lag_000", "y_lag_023"], ["t1", "t2", "t3"], alphas=LEVELS)
+
+
+@query()
+def model_scenarios(spark, d):
+    own, fitted = _uncertain(spark, d)
+    return fitted.scenarios(own, 8).select("name", "ts", "scenario", F.transform("path", lambda v: F.round(v, 4)).alias("path"))
+
+
+@query()
+def model_trees_online(spark, d):
+    own, fitted = _uncertain(spark, d)
+    return rounded(fitted.trees(own, [1, 2, 4], 8), "p", "v")
+
+
+@query()
+def model_trees_offline(spark, d):
+    """24 trees of the errors made once, each row's hour's with its forecast added."""
+    own, fitted = _uncertain(spark, d)
+    return rounded(fitted.trees(own, [1, 2, 4], 8, hourly=fitted.hourly_trees([1, 2, 4], 40)), "p", "v")
+
+
+@query(f"""WITH {R_SQL}, t(node, parent, step, p, v) AS (VALUES (0, -1, 0, 1.0, 0.0), (1, 0, 1, 0.25, -8.0), (2, 0, 1, 0.75, 8.0), (3, 2, 2, 0.75, 2.0))
+SELECT name, ts, node, round(t.v * (1 + extract(hour FROM ts)) + f, 8) AS v FROM ahead a JOIN t ON t.step = a.step - 1 WHERE f IS NOT NULL""")
+def tree_superimposed(spark, d):
+    nodes = spark.createDataFrame([(0, -1, 0, 1.0, 0.0), (1, 0, 1, 0.25, -8.0), (2, 0, 1, 0.75, 8.0), (3, 2, 2, 0.75, 2.0)], "node int, parent int, step int, p double, v double")
+    hours = nodes.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("v", F.col("v") * (1 + F.col("hour")))
+    f = steps_ahead(spark, d).filter("f is not null").select("name", "ts", F.hour("ts").alias("hour"), (F.col("step") - 1).alias("step"), "f")
+    return rounded(scenarios.superimpose(hours, f, on=("hour", "step")).select("name", "ts", "node", "v"), "v")
+
+
 @query()
 def copula_scenarios(spark, d):
     return _scenarios(spark, d).select("name", "ts", "scenario", F.transform("path", lambda v: F.round(v, 4)).alias("path"))
@@ -698,7 +918,7 @@ def model_binned(spark, d):
 @query()
 def model_network(spark, d):
     df, x = _lagged(spark, d)
-    return learners.fit_network(df, x, "t1", epochs=10, probabilistic=True).predict(df, x).select("name", "ts", r("f", 3).alias("f"), r("sigma", 3).alias("sigma"))
+    return learners.fit_network(df, x, "t1", epochs=10, loss="normal").predict(df, x).select("name", "ts", r("f", 3).alias("f"), r("sigma", 3).alias("sigma"))
 
 
 @query()
