@@ -201,6 +201,58 @@ def test_near_groups_equal_brute_force(spark):
     assert near.near_groups(docs(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_groups_that_no_centre_settles(spark, monkeypatch, block):
+    """Chains of edits, lengths and repeated rows: all pairs by brute force, with blocks of three members and of many."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "HOT_ROWS", 3)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(4):
+        now = [word() for _ in range(120)]
+        for _ in range(14):
+            texts.append(" ".join(now))
+            now = list(now)
+            for _ in range(2):
+                now[rnd.randrange(len(now))] = word()
+            now += [word() for _ in range(rnd.randrange(0, 9))]
+    texts += [texts[0]] * 6 + ["long " * 60_000, "long " * 59_000]
+    sets = {i: near.multiset(t) for i, t in enumerate(texts)}
+    above = {}
+
+    def root(x):
+        while above.get(x, x) != x:
+            x = above[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and near.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                above[b] = a
+    got = {r.doc_id: r.group_id for r in near.near_groups(docs(spark, texts)).collect()}
+    assert got == {i: root(i) for i in sets}
+
+
+def test_near_groups_of_a_table_equal_brute_force(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = real.select("doc_id", "text").collect()
+    index: dict = {}
+    sets = {}
+    for r in rows:
+        if r.text and len((m := near.multiset(r.text))[0]):
+            sets[r.doc_id] = m
+            for u in m[0].tolist():
+                index.setdefault(u, []).append(r.doc_id)
+    pairs = {(min(a, b), max(a, b)) for ids in index.values() if len(ids) > 1 for a in ids for b in ids if a != b}
+    links = [p for p in pairs if near.weighted_jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
+    got = {r.doc_id: r.group_id for r in near.near_groups(real).collect()}
+    assert len(links) > 50 and all(got[a] == got[b] for a, b in links)  # recall 1 where 0.9 is asked for
+    linked = {x for p in links for x in p}
+    assert all(g == d for d, g in got.items() if d not in linked)
+
+
 # -- learned operators
 
 

@@ -8,15 +8,20 @@ with great likelihood are never drawn (and the limit is doubled where one is sti
 each run and about m ln m points instead of m hashes for each run.
 
 Texts of one multiset are one class. Classes that share a band form a bucket; every member is verified against the
-bucket's best connected class, which settles most copies, in any number, with one pair each. Buckets that still hold
-several components are compared exactly, all members with all, in pairs of blocks of bounded size; only links leave a
-task. Links make components; the smallest document of a component stands for it.
+bucket's best connected class, first of all the one that it meets most often, which settles most copies, in any number, with one
+pair each; then against those that it isn't linked with yet. Buckets that still hold several components are compared exactly: their members are
+cut by size, since texts that are alike to 0.8 differ by a quarter at most, and into blocks of bounded numbers and bytes, each of one
+large component or of small ones; blocks that can hold a link are compared pair by pair, and only links leave a task. Links make
+components; the smallest document of a component stands for it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +35,10 @@ BANDS, ROWS = 28, 5
 SIZE = BANDS * ROWS
 #: Members that one task compares with each other, and with one centre; groups of any size are dealt to as many tasks as they need.
 BLOCK, STAR = 256, 1024
+#: Bytes of text in a block; one text may have more.
+BLOCK_BYTES = 4_000_000
+#: Documents of one class from which its name is broadcast; a share of all, so that such classes are few in tables of any size.
+HOT_ROWS, HOT_SHARE = 20_000, 1e-5
 #: Ids beyond this are joined by Spark's own choice instead of a broadcast.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -91,7 +100,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = SIZE) -> np.n
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, cls (128 bits of the multiset; null if the text has no word), and bands."""
+    """doc_id, cls (128 bits of the multiset; null if the text has no word), bands, runs (how many) and bytes."""
 
     def sign(batches):
         for batch in batches:
@@ -101,11 +110,11 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys = words.mix((words.mix(bits).reshape(len(sets), BANDS, ROWS) * words._PRIMES[:ROWS]).sum(2, dtype="u8")).view("i8")
                 full = [len(u) > 0 for u, _ in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([xxhash.xxh3_128_digest(u.tobytes() + c.tobytes()) if f else None for (u, c), f in zip(sets, full, strict=True)], pa.binary()), pa.array([k.tolist() if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64()))],
-                    ["doc_id", "cls", "bands"],
+                    [part.column(0), pa.array([xxhash.xxh3_128_digest(u.tobytes() + c.tobytes()) if f else None for (u, c), f in zip(sets, full, strict=True)], pa.binary()), pa.array([k.tolist() if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())), pa.array([int(c.sum()) for _, c in sets], pa.int64()), pc.fill_null(pc.cast(pc.binary_length(part.column(1)), pa.int64()), 0)],
+                    ["doc_id", "cls", "bands", "runs", "bytes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, cls binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, cls binary, bands array<long>, runs long, bytes long")
 
 
 def _with_text(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -117,8 +126,8 @@ def _with_text(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the written, distinct pairs (centre a, member b) those whose whole texts reach the threshold, with their similarity.
 
-    A centre's text comes first, then its members'; a centre of many has its members dealt to salts, each with the centre's text. So every
-    text is shuffled once.
+    A centre's text comes first, then its members'; a centre of many has its members dealt to salts, each with the centre's text. A member's
+    text is shuffled once for each pair that it is in.
     """
     sizes = common.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), "centres")
     members = _with_text(pairs.select(F.col("b").alias("doc_id"), "a"), docs)
@@ -175,22 +184,46 @@ def all_similar(left: list, right: list) -> np.ndarray:
     return total / (n[:, None] + m[None] - total)
 
 
+_PLACE = ["band", "pool", "k"]
+
+
 def _links_between(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that join components of one group of buckets; of the links between two components within two blocks, one.
 
-    members: (grp, doc_id, component). A group is cut into blocks of about BLOCK members by a hash, and each pair of blocks is compared
-    in a task of its own, so that no task holds more than two blocks, whatever the group's size, and no pair but a link leaves it.
+    members: (grp, doc_id, component, runs, bytes). A group is cut into bands of sizes that grow by 1 / THRESHOLD, so that links are within a band or
+    between neighbours. A band's members are dealt to blocks by a hash: those of a component that fills a block to blocks of its own, which aren't compared
+    with each other, the others to common ones. So no task holds more than two blocks, whatever the group's size, and no pair but a link leaves it.
     """
-    counts = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = common.written(members.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = _with_text(cut, docs).select("grp", "doc_id", "whole_text", "component", "block", other).select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "whole_text", "component")
+    width = F.lit(-math.log(THRESHOLD) * (1 + 1e-9))
+    banded = members.withColumn("band", F.floor(F.log(F.greatest("runs", F.lit(1))) / width).cast("long"))
+    full = banded.groupBy("grp", "band", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK).select("grp", "band", "component", F.col("component").alias("pool"))
+    pooled = common.written(banded.join(full, ["grp", "band", "component"], "left").withColumn("pool", F.coalesce("pool", F.lit(-(2**63)))), "pooled")
+    counts = pooled.groupBy("grp", "band", "pool").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    cut = common.written(pooled.join(counts, ["grp", "band", "pool"]).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).drop("blocks"), "members")
+    blocks = cut.select("grp", *_PLACE).distinct()
+    left, right = (blocks.select("grp", *[F.col(c).alias(side + c) for c in _PLACE]) for side in "lr")
+    same = left.join(right.withColumn("lband", F.col("rband")), ["grp", "lband"]).filter("struct(lpool, lk) <= struct(rpool, rk)")
+    above = left.join(right.withColumn("lband", F.col("rband") - 1), ["grp", "lband"])
+    many = F.lit(-(2**63))
+    pairs = same.unionByName(above).filter((F.col("lpool") != F.col("rpool")) | (F.col("lpool") == many)).select("grp", *[side + c for side in "lr" for c in _PLACE])
+    pairs = common.written(pairs, "block-pairs")
+    texts = _with_text(cut.drop("bytes", "runs"), docs)
+
+    def sent(side: str) -> DataFrame:
+        own = common.small(pairs.withColumnsRenamed({side + c: c for c in _PLACE}), MAX_BROADCAST_IDS)
+        out = texts.join(own, ["grp", *_PLACE]).withColumnsRenamed({c: side + c for c in _PLACE})
+        return out.select("grp", *[s + c for s in "lr" for c in _PLACE], F.lit(side).alias("side"), "doc_id", "component", "whole_text")
+
+    itself = F.expr("lband = rband AND lpool = rpool AND lk = rk")
+    both = sent("l").unionByName(sent("r").filter(~itself))  # a block compared with itself comes once
 
     def compare(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        ids, comp, block = (np.asarray(table.column(c)) for c in ("doc_id", "component", "block"))
+        ids, comp = (np.asarray(table.column(c)) for c in ("doc_id", "component"))
+        left = np.asarray([s == "l" for s in table.column("side").to_pylist()])
         found: list = [[], []]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = np.flatnonzero(left), np.flatnonzero(~left)
+        if key[1:4] == key[4:7]:
+            right = left
         if len(left) and len(right) and len(np.unique(comp)) > 1:
             texts = table.column("whole_text").to_pylist()
             sets = {int(k): multiset(texts[k] or "") for k in np.union1d(left, right)}
@@ -211,7 +244,17 @@ def _links_between(members: DataFrame, docs: DataFrame) -> DataFrame:
                     found[1].append(max(int(ids[p]), int(ids[q])))
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-    return sent.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+    return both.groupBy("grp", *[side + c for side in "lr" for c in _PLACE]).applyInArrow(compare, "a long, b long")
+
+
+def _named(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, class_id of every row. Classes of a great many rows are few and broadcast, so that no task gets all rows of one."""
+    least = max(HOT_ROWS, int(HOT_SHARE * signed.count()))
+    hot = classes.filter(F.col("n") >= least).select("cls", "rep")  # 1 / HOT_SHARE rows at most
+    with_hot = signed.select("doc_id", "cls").filter("cls is not null").join(F.broadcast(hot), "cls", "left")
+    rest = with_hot.filter("rep is null").drop("rep").join(classes.filter(F.col("n") < least).select("cls", "rep"), "cls", "left")
+    known = with_hot.filter("rep is not null").unionByName(rest).select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
+    return known.unionByName(signed.filter("cls is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -220,11 +263,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     class_id is the smallest document of the same multiset of shingles, group_id the smallest of the component of
     links of weighted Jaccard similarity 0.8 or more, keep marks it. Texts of fewer than five words are one shingle. Null
     texts and those without a word belong to no group: they stand alone, as do rows of null doc_id. Rows that share a
-    doc_id count as one document. Other columns are ignored.
+    doc_id count as one document. Very long texts are read whole, slices and blocks are bounded by bytes; an empty table gives an empty one.
+    Other columns are ignored. Runs jobs while it is called.
     """
     signed = common.written(_signed(docs), "signed")
     known = signed.filter("cls is not null and doc_id is not null")
-    classes = common.written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = common.written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("runs").alias("runs"), F.max("bytes").alias("bytes"), F.count("*").alias("n")), "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     buckets = common.written(banded.join(shared.select("band", "key", "n"), ["band", "key"]), "buckets")
@@ -233,11 +277,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     ranked = common.written(buckets.join(meets, "rep"), "ranked")
     most = F.max(F.struct("meets", (-F.col("rep")).alias("rep")))
     centres = ranked.groupBy("band", "key").agg(most.alias("most")).select("band", "key", (-F.col("most.rep")).alias("centre"))
-    pairs = common.written(ranked.join(centres, ["band", "key"]).filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    met = ranked.join(centres, ["band", "key"]).filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"))
+    best = F.max_by("a", F.struct("n", -F.col("a")))
+    met = common.written(met, "met")
+    pairs = common.written(met.groupBy("b").agg(best.alias("a")).select("a", "b"), "pairs")
     # rows of one doc_id with other texts are one document
-    again = known.select("doc_id", "cls").distinct().join(classes.select("cls", "rep"), "cls").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
+    twice = known.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("doc_id")
+    again = known.join(twice, "doc_id").select("doc_id", "cls").distinct().join(classes.select("cls", "rep"), "cls").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = common.written(_verified(pairs, docs).select("a", "b").unionByName(again), "links")
     labels = components(links)
+    # a member's other centres, unless it is linked with them by now
+    at, to = (labels.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab")
+    others = met.select("a", "b").join(pairs, ["a", "b"], "left_anti").join(at, "a", "left").join(to, "b", "left")
+    others = common.written(others.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
+    if others.limit(1).count():
+        links = common.written(links.unionByName(_verified(others, docs).select("a", "b")), "links")
+        labels = components(links)
     labelled = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = common.written(labelled, "labelled")
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band", "key", F.col("lo").alias("first"))
@@ -246,11 +301,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         # buckets that share components are one group: a member is then compared once, not once for each of its bands
         grouped = components(within.select(F.col("first").alias("a"), F.col("component").alias("b")).distinct())
         named = grouped.select(F.col("node").alias("component"), F.col("component").alias("grp"))
-        members = within.select("rep", "component").distinct().join(named, "component").select("grp", F.col("rep").alias("doc_id"), "component")
+        members = within.select("rep", "component").distinct().join(named, "component").join(classes.select("rep", "runs", "bytes"), "rep").select("grp", F.col("rep").alias("doc_id"), "component", "runs", "bytes")
         links = common.written(links.unionByName(_links_between(members, docs)), "links")
         labels = components(links)
-    named = signed.join(classes.select("cls", F.col("rep").alias("class_id")), "cls", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    grouped = named.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    grouped = _named(signed, classes).join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return grouped.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("group_id")).withColumn("keep", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
 
 
