@@ -104,7 +104,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for part in common.parts(batch, 1):
+            for part in common.parts(batch, 1, size=4_000_000):  # a run of words takes some 100 bytes here
                 sets = [multiset(t) if t else (np.zeros(0, "u8"), np.zeros(0, "i8")) for t in part.column(1).to_pylist()]
                 bits = signatures(sets).view("u8")
                 keys = words.mix((words.mix(bits).reshape(len(sets), BANDS, ROWS) * words._PRIMES[:ROWS]).sum(2, dtype="u8")).view("i8")
