@@ -13,29 +13,40 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from the labels of these documents, doesn't reject."""
+    """Documents that the quality classifier, learned from the labels of these documents, doesn't reject.
+
+    Null and empty texts are scored like any other; rows that share an id are judged each by its own text, and so are those of null id. Without
+    labels all have score 0.5 and stay. Columns of any name pass."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
     name = "_".join(["score", *docs.columns])  # no column of the table's own
     return quality.score(docs, model, name).filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
+    """One document of each group of near-duplicates, the one of the smallest id.
+
+    Null texts, those without a word, and rows of null id are in no group and stay; of rows that share a kept id one stays."""
     return near.one_of_each(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Each row goes or stays for its own text, whatever its id; null and empty texts stay. An empty benchmark takes nothing away."""
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Null texts have size 0 and a null source is a source of its own; rows alike in id and text are interchangeable."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files, written into the shared folder, and what they say of each document."""
+    """The token files, written into the shared folder, and what they say of each document, in ascending id order, null ids first.
+
+    A null text is an empty one; rows that share an id each have their place. Of no documents there is an empty file."""
     return token_files.encoded(docs, public_tokenizers.path(TOKENIZER))
 
 
