@@ -9,7 +9,7 @@ import xxhash
 
 _WORD = re.compile(r"\w+")
 #: Distinct words that one worker remembers; beyond, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], "u8")
 
 
