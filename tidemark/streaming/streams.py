@@ -54,9 +54,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     spark = stream.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    def write(batch: DataFrame, number: int) -> None:
+        """A batch that is tried again overwrites what it wrote."""
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/{number}")
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
