@@ -28,6 +28,8 @@ def test_easter_and_codes():
     assert [easter(y) for y in (2000, 2019, 2024, 2038)] == [date(2000, 4, 23), date(2019, 4, 21), date(2024, 3, 31), date(2038, 4, 25)]
     days = codes("CH", date(2024, 5, 1), date(2024, 5, 31))
     assert days[date(2024, 5, 9)] == 3 and days[date(2024, 5, 10)] == 1
+    assert date(2024, 5, 30) not in days and codes("CH", date(2024, 5, 1), date(2024, 5, 31), "TI")[date(2024, 5, 30)] == 3
+    assert codes("DE", date(2024, 8, 1), date(2024, 8, 31), "BY")[date(2024, 8, 15)] == 3
 
 
 def series(spark, n=60, step=3600):

@@ -175,3 +175,62 @@ def test_scenarios_of_all_series(spark):
     leaves = queries.QUERIES["tree_leaf_paths"](spark, data).collect()
     assert {(r.name, r.ts) for r in leaves} == {(r.name, r.ts) for r in rows}
     assert len({(r.name, r.ts, r.leaf, r.step) for r in leaves}) == len(leaves)
+
+
+def test_reduction_by_tolerance_and_of_several_variables():
+    rng = np.random.default_rng(3)
+    paths = rng.normal(size=(30, 5)).cumsum(1)
+    levels = lambda t: t.groupby("step").node.count().tolist()
+    coarse, fine = scenarios.reduce_scenarios(paths, tolerance=50.0), scenarios.reduce_scenarios(paths, tolerance=1e-9)
+    assert levels(coarse)[0] == levels(fine)[0] == 1 and sum(levels(coarse)) < sum(levels(fine))
+    assert levels(fine)[1:] == [26, 27, 28, 29]  # every step joins two branches at least
+    two = scenarios.reduce_scenarios(np.stack([paths, -paths], 2), [1, 2, 4, 6, 8])
+    one = scenarios.reduce_scenarios(paths, [1, 2, 4, 6, 8])
+    assert np.allclose(two.v0, -two.v1) and np.allclose(two.v0, one.v) and (two.parent == one.parent).all()
+    assert levels(one) == [1, 2, 4, 6, 8] and np.allclose(one.groupby("step").p.sum(), 1)
+    assert levels(scenarios.reduce_scenarios(np.ones((4, 3)))) == [1, 1, 1]
+
+
+def test_kalman_with_motion_and_observation():
+    f, h, q, r = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([[1.0, 0.0]]), 1e-6 * np.eye(2), np.array([[1e-4]])
+    x, p = np.zeros(2), 100 * np.eye(2)
+    for t in range(1, 60):
+        x, p = stateful.kalman(x, p, np.array([3.0 + 0.5 * t]), q, r, f, h)
+    assert np.allclose(x, [3.0 + 0.5 * 59, 0.5], atol=1e-2)
+    a, b = np.array([1.0, 2.0]), np.array([[2.0, 0.3], [0.3, 1.0]])
+    plain = stateful.kalman(a, b, np.zeros(2), np.eye(2), np.eye(2))
+    same = stateful.kalman(a, b, np.zeros(2), np.eye(2), np.eye(2), np.eye(2), np.eye(2))
+    assert all(np.allclose(u, v) for u, v in zip(plain, same, strict=True))
+
+
+def test_holt_winters_learns_from_covariates(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    n = 400
+    x = rng.normal(size=n)
+    y = 5 + np.sin(np.arange(n) * 2 * np.pi / 24) + np.r_[0, 3 * x[:-1]]
+    pdf = pd.DataFrame({"name": "a", "ts": pd.date_range("2024-01-01", periods=n, freq="h"), "y": y, "x": x, "old": np.arange(n) < 300})
+    pdf.loc[350, "x"] = None
+    df = spark.createDataFrame(pd.concat([pdf, pdf.assign(name="untrained", old=False).head(30), pdf.assign(name="trained", old=True).head(60)]))
+    model, truth = stateful.HoltWinters((24, 48), 3), y[300:]
+    first, cold = stateful.walk(model, y[:300])
+    fix = pdf.x[300:].fillna(0).to_numpy()[:, None] @ stateful.residual_coefficients(first, y[:300], x[:300, None])
+    error = lambda g: float(np.mean((g[:-1, 0] - truth[1:]) ** 2))
+    for repeats in (0, 20):
+        out = stateful.forecast_corrected(df, model, ["x"], "old", repeats=repeats).toPandas().sort_values(["name", "ts"])
+        assert out.groupby("name").size().to_dict() == {"a": 100, "untrained": 30}
+        f, state = np.array(out[out.name == "a"].f.tolist()), cold
+        for _ in range(repeats):
+            state = stateful.walk(model, y[252:300], state)[1]
+        plain = stateful.walk(model, truth, state)[0]
+        assert np.allclose(f, plain + fix) and error(f) < (0.3 if repeats == 0 else 0.6) * error(plain)
+
+
+def test_coefficients_equal_least_squares():
+    rng = np.random.default_rng(1)
+    y, x, f = rng.normal(size=50), rng.normal(size=(50, 2)), rng.normal(size=(50, 3))
+    got = stateful.residual_coefficients(f, y, x)
+    for h in range(3):
+        rest = y[1 + h : 48 + h] - f[:47, h]
+        assert np.allclose(got[:, h], np.linalg.lstsq(x[:47], rest, rcond=None)[0])

@@ -15,6 +15,18 @@ CALENDARS = {
     "IT": (((1, 1), (1, 6), (4, 25), (5, 1), (6, 2), (8, 15), (11, 1), (12, 8), (12, 25), (12, 26)), (1,)),
 }
 
+# What a part of a country has besides, in the same form.
+PARTS = {
+    ("CH", "TI"): (((1, 6), (3, 19), (5, 1), (6, 29), (8, 15), (11, 1), (12, 8), (12, 26)), (1, 50, 60)),
+    ("CH", "ZH"): (((5, 1), (12, 26)), (-2, 1, 50)),
+    ("DE", "BW"): (((1, 6), (11, 1)), (60,)),
+    ("DE", "BY"): (((1, 6), (8, 15), (11, 1)), (60,)),
+    ("DE", "HE"): ((), (60,)),
+    ("DE", "NW"): (((11, 1),), (60,)),
+    ("DE", "RP"): (((11, 1),), (60,)),
+    ("DE", "SL"): (((8, 15), (11, 1)), (60,)),
+}
+
 
 def easter(year: int) -> date:
     """The Sunday after the full moon of the Gregorian computus."""
@@ -26,9 +38,11 @@ def easter(year: int) -> date:
     return date(year, month, shift + 28 - 31 * (month // 4))
 
 
-def codes(country: str, first: date, last: date) -> dict[date, int]:
+def codes(country: str, first: date, last: date, part: str | None = None) -> dict[date, int]:
     """3 a holiday; 2 a weekend day next to one; 1 a bridge: a working day between days off, one of them a holiday's. Others have no entry."""
     fixed, moving = CALENDARS[country]
+    if part is not None:
+        fixed, moving = (own + more for own, more in zip(CALENDARS[country], PARTS[country, part], strict=True))
     free = {date(y, m, d) for y in range(first.year - 1, last.year + 2) for m, d in fixed} | {easter(y) + timedelta(k) for y in range(first.year - 1, last.year + 2) for k in moving}
     off = lambda d: d in free or d.weekday() > 4
     out = {}
@@ -46,11 +60,11 @@ def codes(country: str, first: date, last: date) -> dict[date, int]:
     return out
 
 
-def add_holidays(df: DataFrame, country: str = "CH", *, ts: str = "ts") -> DataFrame:
+def add_holidays(df: DataFrame, country: str = "CH", *, part: str | None = None, ts: str = "ts") -> DataFrame:
     """Column ``holiday``: 0 none, 1 bridge, 2 long weekend, 3 holiday. The calendar has a row a special day of the span, so it is small by nature."""
     lo, hi = df.agg(F.to_date(F.min(ts)), F.to_date(F.max(ts))).first()
     if lo is None:
         return df.withColumn("holiday", F.lit(0))
-    days = codes(country, lo - timedelta(2), hi + timedelta(2))
+    days = codes(country, lo - timedelta(2), hi + timedelta(2), part)
     calendar = df.sparkSession.createDataFrame([*days.items()] or [(date(1, 1, 1), 0)], "_day date, holiday int")
     return df.withColumn("_day", F.to_date(ts)).join(F.broadcast(calendar), "_day", "left").withColumn("holiday", F.coalesce("holiday", F.lit(0))).drop("_day")

@@ -147,40 +147,47 @@ def default_nodes(steps: int, most: int) -> list[int]:
     return [min(most, 2**k) for k in range(steps)]
 
 
-def reduce_scenarios(paths: np.ndarray, nodes: Sequence[int]) -> pd.DataFrame:
-    """Backward reduction of (scenarios, steps) to at most nodes[t] branches at step t.
+def reduce_scenarios(paths: np.ndarray, nodes: Sequence[int] | None = None, *, tolerance: float = 10.0) -> pd.DataFrame:
+    """Backward reduction of (scenarios, steps) or (scenarios, steps, variables) to at most nodes[t] branches at step t.
 
-    Distances are city-block ones over the whole horizon, steps scaled by their spread. From the last step to the first, the branch whose
-    probability times distance to its nearest other one is least joins that one, and takes its path up to there.
+    Distances are city-block ones over the whole horizon and all variables, steps scaled by their spread. From the last step to the first, the
+    branch whose probability times distance to its nearest other one is least joins that one, and takes its path up to there. Without nodes a step
+    joins branches until what that cost reaches tolerance / 1.5^(t + 2) of the least sum of distances up to there; one is left at the root.
+    Of several variables the tree has columns v0, v1 and so on.
     """
-    s = paths.T.copy()  # steps, scenarios
-    steps, n = s.shape
+    s = np.atleast_3d(paths).swapaxes(0, 1).copy()  # steps, scenarios, variables
+    steps, n, kinds = s.shape
     z = (s - s.mean(1, keepdims=True)) / (s.std(1, keepdims=True) + 1e-6)
-    d = np.abs(z[:, :, None] - z[:, None, :]).sum(0)
+    upto = np.cumsum(np.abs(z[:, :, None] - z[:, None, :]).sum(3), 0) if nodes is None else None
+    d = np.abs(z[:, :, None] - z[:, None, :]).sum((0, 3)) if upto is None else upto[-1].copy()
     np.fill_diagonal(d, np.inf)
     p, alive, into = np.full(n, 1.0 / n), np.ones(n, bool), np.arange(n)
     for t in range(steps - 1, -1, -1):
-        while alive.sum() > max(1, nodes[t]):
+        most = np.inf if upto is None or t == 0 else tolerance / 1.5 ** (t + 2) * upto[t][np.ix_(alive, alive)].sum(0).min()
+        cost, left = 0.0, 1 if nodes is None else max(1, nodes[t])
+        while alive.sum() > left and (cost < most or cost == 0):
             near = np.where(alive[:, None] & alive[None, :], d, np.inf)
-            r = int(np.argmin(np.where(alive, np.where(alive, near.min(1), 0) * p, np.inf)))
+            joins = np.where(alive, np.where(alive, near.min(1), 0) * p, np.inf)
+            r = int(np.argmin(joins))
             k = int(near[r].argmin())
+            cost += float(joins[r])
             p[k], p[r], alive[r] = p[k] + p[r], 0.0, False
             moved = into == r
             into[moved] = k
-            s[: t + 1, moved] = s[: t + 1, k][:, None]
+            s[: t + 1, moved] = s[: t + 1, k, None]
     rows, parent = [], {}
     leaves = np.full(n, 1.0 / n)
     for t in range(steps):
         now: dict = {}
         for j in range(n):
             above = parent.get(j, -1)
-            key = (above, float(s[t, j]))
+            key = (above, *map(float, s[t, j]))
             if key not in now:
                 now[key] = len(rows)
-                rows.append([len(rows), above, t, 0.0, float(s[t, j])])
+                rows.append([len(rows), above, t, 0.0, *key[1:]])
             rows[now[key]][3] += leaves[j]
             parent[j] = now[key]
-    return pd.DataFrame(rows, columns=["node", "parent", "step", "p", "v"])
+    return pd.DataFrame(rows, columns=["node", "parent", "step", "p", *(["v"] if kinds == 1 else [f"v{k}" for k in range(kinds)])])
 
 
 def _assign(paths: np.ndarray, tree: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

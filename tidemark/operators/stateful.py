@@ -75,12 +75,15 @@ class FourierSmoothing:
         return {"i": i + 1, "w": w, "x": x.tolist(), "eps": eps, "f": float(f[0]), **more}, f
 
 
-def kalman(x: np.ndarray, p: np.ndarray, z: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One predict and update step of a random walk observed directly; the covariance in Joseph's form."""
+def kalman(x: np.ndarray, p: np.ndarray, z: np.ndarray, q: np.ndarray, r: np.ndarray, f: np.ndarray | None = None, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One predict and update step of a state that moves by f and is observed through h, both the identity unless given; the covariance in Joseph's form."""
+    if f is not None:
+        x, p = f @ x, f @ p @ f.T
+    h = np.eye(len(x)) if h is None else h
     p = p + q
-    k = p @ np.linalg.pinv(p + r)
-    keep = np.eye(len(x)) - k
-    return x + k @ (z - x), keep @ p @ keep.T + k @ r @ k.T
+    k = p @ h.T @ np.linalg.pinv(h @ p @ h.T + r)
+    keep = np.eye(len(x)) - k @ h
+    return x + k @ (z - h @ x), keep @ p @ keep.T + k @ r @ k.T
 
 
 class FourierKalman(FourierSmoothing):
@@ -189,6 +192,52 @@ def forecast(df: DataFrame, model, *, y: str = "y", ts: str = "ts", by: Sequence
     return df.select(*by, ts, y).groupBy(*by).applyInPandas(run, schema)
 
 
+def warmed(model: HoltWinters, y: np.ndarray, state: dict, *, repeats: int = 20) -> dict:
+    """The state after the last long period has been walked again and again, so that what the start left in it has faded."""
+    for _ in range(repeats):
+        _, state = walk(model, y[-max(model.periods) :], state)
+    return state
+
+
+def residual_coefficients(f: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(covariates, steps): least squares of what the forecasts left over, each step by itself; rows without a whole truth or covariate take no part."""
+    steps = f.shape[1]
+    n = max(0, len(y) - steps)
+    rest = np.stack([y[1 + h : 1 + h + n] for h in range(steps)], 1) - f[:n]
+    use = np.isfinite(rest).all(1) & np.isfinite(x[:n]).all(1)
+    return np.linalg.pinv(x[:n][use].T @ x[:n][use]) @ (x[:n][use].T @ rest[use])
+
+
+def forecast_corrected(df: DataFrame, model: HoltWinters, features: Sequence[str], train: str, *, repeats: int = 20, y: str = "y", ts: str = "ts", by: Sequence[str] = ("name",)) -> DataFrame:
+    """(by, ts, y, f array) of the rows whose boolean column ``train`` isn't true: Holt-Winters, and a regression of its residuals on the features.
+
+    Every series fits on its own training rows in time's order, is warmed up with their last long period, and walks on with a steady trend. What is
+    noise in that period is learned as its season: series of much noise forecast better with few repeats or none. A row with a null feature has the
+    uncorrected forecast; a series without training rows starts at its first value and isn't corrected.
+    """
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + f", `{ts}` timestamp, `{y}` double, f array<double>"
+    steady = HoltWinters(model.periods, model.steps, model.alpha, 0.0, model.gammas, model.bounds)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts)
+        old = pdf["_train"].fillna(False).to_numpy(bool)
+        v, x = pdf[y].to_numpy("f8"), pdf[list(features)].to_numpy("f8")
+        state, more = None, np.zeros((len(features), model.steps))
+        if old.any():
+            f, state = walk(model, v[old])
+            more = residual_coefficients(f, v[old], x[old])
+            state = warmed(model, v[old], state, repeats=repeats)
+        if old.all():
+            return pd.DataFrame(columns=[*by, ts, y, "f"])
+        f, _ = walk(steady, v[~old], state)
+        fix = x[~old] @ more
+        f = f + np.where(np.isfinite(fix), fix, 0.0)
+        return pdf.loc[~old, [*by, ts, y]].assign(f=list(f))
+
+    own = list(dict.fromkeys([*by, ts, y, *features]))
+    return df.select(*own, df[train].alias("_train")).groupBy(*by).applyInPandas(run, schema)
+
+
 def tune(df: DataFrame, make, space: dict[str, tuple[float, float]], trials: int, *, y: str = "y", ts: str = "ts", by: Sequence[str] = ("name",), seed: int = 0) -> DataFrame:
     """(trial, parameters, mse): seeded uniform search; a trial's score is the squared one-step error on the last 30 % of each series, averaged
     over series. Trials and series are the parallelism."""

@@ -718,6 +718,17 @@ def model_holt_winters_multi(spark, d):
     return _walked(spark, d, stateful.bands([stateful.HoltWinters((24, 168), 6, alpha=0.3), stateful.HoltWinters((24, 168), 24, alpha=0.05)], [6, 24]))
 
 
+@query()
+def model_holt_winters_corrected(spark, d):
+    """Trained up to the last fifth of each series' time; residuals are regressed on the value itself and the hour's wave."""
+    own = panel(spark, d)
+    ends = own.groupBy("name").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    at = F.unix_seconds("ts") < F.unix_seconds("lo") + 0.8 * (F.unix_seconds("hi") - F.unix_seconds("lo"))
+    wave = F.sin(F.hour("ts") * F.lit(2 * 3.141592653589793 / 24))
+    out = stateful.forecast_corrected(own.join(ends, "name").select("name", "ts", "y", wave.alias("wave"), at.alias("old")), stateful.HoltWinters((24, 168), 8), ["y", "wave"], "old")
+    return out.select("name", "ts", "y", r(F.element_at("f", 1)).alias("f1"), r(F.element_at("f", -1)).alias("f_last"))
+
+
 @query()
 def model_fourier_smoothing(spark, d):
     return _walked(spark, d, stateful.FourierSmoothing(48, 8, 8))
