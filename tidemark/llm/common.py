@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 from urllib.parse import urlparse
@@ -67,6 +69,47 @@ def parts(batch, text: int, rows: int = 256, size: int = 8_000_000):
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
+
+
+# -- what a worker holds --------------------------------------------------------------------------
+
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(name: str, held: dict) -> dict:
+    """``held``, which a worker keeps between tasks, known by a name for ``lean``."""
+    _REMEMBERED[name] = held
+    return held
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed: Arrow's pool and the C library keep it for themselves."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(work: Callable, *keeps: str) -> Callable:
+    """``work`` over batches, in a worker that other operators used before and will use after: of what is remembered there it finds that
+    of ``keeps`` alone, and what it frees goes back to the system."""
+
+    def run(batches):
+        forget_but(keeps)
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def forget_but(keeps: tuple[str, ...]) -> None:
+    for name, held in _REMEMBERED.items():
+        if name not in keeps:
+            held.clear()
 
 
 # -- files beside Spark's own ---------------------------------------------------------------------

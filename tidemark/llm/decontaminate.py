@@ -190,7 +190,7 @@ def _block(docs: DataFrame, n_docs: int, items: Items) -> DataFrame:
                         could.append(held.value.could(h, at, seed))
                 yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(at_rows, pa.int64())), pa.array(found, pa.list_(pa.int32())), pa.array(could, pa.bool_())], ["digest", "seeds", "could"])
 
-    held_seeds = common.written(docs.mapInArrow(seeds, "digest binary, seeds array<int>, could boolean"), "seed-hits")
+    held_seeds = common.written(docs.mapInArrow(common.lean(seeds, "words"), "digest binary, seeds array<int>, could boolean"), "seed-hits")
     hits = held_seeds.select("digest", F.explode("seeds").alias("seed"))
     count = np.zeros(len(items.seed), "i8")
     counted = hits.groupBy("seed").count().toArrow()  # a row for each seed of the block at most
@@ -208,7 +208,7 @@ def _block(docs: DataFrame, n_docs: int, items: Items) -> DataFrame:
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(2).take(at), part.column(0).take(at), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()), 1))], ["digest", "doc_id", "item_id", "score", "first_word", "end_word"])
 
-    return docs.join(common.small(near, MAX_BROADCAST_DOCS), "digest", "left_semi").select("doc_id", "text", "digest").mapInArrow(passages, _FOUND)
+    return docs.join(common.small(near, MAX_BROADCAST_DOCS), "digest", "left_semi").select("doc_id", "text", "digest").mapInArrow(common.lean(passages, "words"), _FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

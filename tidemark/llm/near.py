@@ -114,7 +114,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     ["doc_id", "cls", "bands", "runs", "bytes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, cls binary, bands array<long>, runs long, bytes long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.lean(sign, "words"), "doc_id long, cls binary, bands array<long>, runs long, bytes long")
 
 
 def _with_text(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
 
-    return dealt.mapInArrow(verify, "a long, b long, similarity double")
+    return dealt.mapInArrow(common.lean(verify, "words"), "a long, b long, similarity double")
 
 
 def all_similar(left: list, right: list) -> np.ndarray:

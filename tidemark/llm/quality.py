@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
                 yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in part.column(0).to_pylist()], pa.list_(pa.float64())), part.column(1), part.column(2)], ["x", "y", "part"])
 
     train = docs.select("doc_id", "text").join(common.small(truth, max_train * 2), "doc_id").select("text", "y", "part")
-    train = common.written(train.mapInArrow(described, "x array<double>, y double, part int"), "statistics")
+    train = common.written(train.mapInArrow(common.lean(described), "x array<double>, y double, part int"), "statistics")
     moments = train.select(*[f(F.col("x")[i]).alias(f"{name}{i}") for i in range(len(STATISTICS)) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     d = range(len(STATISTICS))
     mean = np.array([moments[f"m{i}"] or 0.0 for i in d])
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Mo
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["a", "b"])
 
     # max_train bounds the rows, and so 16 partitions of partial sums are enough
-    parts = train.filter("part > 1").coalesce(16).mapInArrow(sums, "a binary, b binary").collect()
+    parts = train.filter("part > 1").coalesce(16).mapInArrow(common.lean(sums), "a binary, b binary").collect()
     a = sum((np.frombuffer(p.a) for p in parts), np.zeros((FEATURES + 1) ** 2)).reshape(FEATURES + 1, -1)
     b = sum((np.frombuffer(p.b) for p in parts), np.zeros(FEATURES + 1))
     ridge = RIDGE * np.eye(FEATURES + 1)
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
     from pyspark.sql.types import DoubleType, StructType
 
     thin = docs.select(*cols)
-    return thin.mapInArrow(scored, StructType([*thin.schema.fields]).add(name, DoubleType()))
+    return thin.mapInArrow(common.lean(scored), StructType([*thin.schema.fields]).add(name, DoubleType()))
 
 
 THRESHOLD = 0.3

@@ -31,7 +31,7 @@ from . import common
 #: Distinct words that one worker remembers; beyond, it starts anew. Bounds memory, never results.
 REMEMBERED = 900_000
 _ENDING = re.compile(r"(?s)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)\Z")
-_ENCODERS: dict = {}
+_ENCODERS: dict = common.remembered("encoders", {})
 
 
 class WordEncoder:
@@ -181,7 +181,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, *, end_id: int = 0, id_col:
         common.write_bytes(f"{uri}/{name}.nul", [np.concatenate(nulls).tobytes()])
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "name": [name], "n_docs": pa.array([len(lengths)], pa.int64()), "n_ids": pa.array([int(off[-1])], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
-    done = sorted(ordered.mapInArrow(shard, "part long, name string, n_docs long, n_ids long, width int").collect())
+    done = sorted(ordered.mapInArrow(common.lean(shard, "encoders"), "part long, name string, n_docs long, n_ids long, width int").collect())
     bases = [0, *accumulate(r.n_ids for r in done)]
     manifest = {"tokenizer": tokenizer.rpartition("/")[2], "end_id": end_id, "n_ids": bases[-1], "shards": [{"name": r.name, "n_docs": r.n_docs, "n_ids": r.n_ids, "width": r.width, "base": b} for r, b in zip(done, bases, strict=False)]}
     common.write_bytes(f"{uri}/manifest.json", [json.dumps(manifest).encode()])
@@ -217,7 +217,7 @@ def read(spark: SparkSession, uri: str, manifest: dict) -> DataFrame:
                         cols = [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(digest, schema)
+    return rows.mapInArrow(common.lean(digest, "encoders"), schema)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from . import common
+
 _WORD = re.compile(r"\w+")
 #: Distinct words that one worker remembers; beyond, it starts anew.
 REMEMBERED = 150_000
@@ -21,7 +23,7 @@ class _Hashes(dict):
         return h
 
 
-_KNOWN = _Hashes()
+_KNOWN = common.remembered("words", _Hashes())
 
 
 def words_of(text: str) -> list[str]:
