@@ -1,11 +1,13 @@
 """Operators over texts against brute force, and their edge cases."""
 
+import codecs
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +51,44 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [x for t in texts for x in enc.encode([t])] == want and [x for t in texts for x in c.count([t])] == n
 
 
+def _word(rnd):
+    letters = rnd.choice(["abcdefghilmnoprstu", "aeioénrçtöß", "ÀÿØöþXYZ"])
+    return "".join(rnd.choices(letters, k=rnd.randrange(2, 14))) + rnd.choice(["", "", "", ".", ",", "?!", "$$$", ".***", "'s", "'", "-x", "<|endoftext|>", "×", "7", "é'll", "日本", "œuf"])
+
+
+def test_bytes_are_written_as_the_library_writes_them():
+    chars = "".join(map(chr, [*range(11, 0xD800), *range(0xE000, 0x110000, 37)]))
+    pre = token_files.encoder(BPE).library.pre_tokenizer.__class__(add_prefix_space=False, use_regex=False)
+    assert pre.pre_tokenize_str(chars)[0][0] == codecs.charmap_decode(chars.encode(), "strict", token_files._BYTES)[0]
+
+
+def test_new_words_of_any_ending_equal_the_librarys():
+    rnd = random.Random(2)
+    texts = ["".join(_word(rnd) + rnd.choice("   \n") for _ in range(60)).strip() for _ in range(400)]
+    enc = token_files.WordEncoder(BPE)
+    want = [np.array(e.ids, enc.dtype).tobytes() for e in enc.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want and enc.encode(texts[::-1]) == want[::-1]
+    assert enc.encode(pa.array(["cut off", *texts]).slice(1)) == want
+
+
+def test_plain_words_are_not_told_apart_twice(real):
+    """What the library is given as text costs pre-tokenization again: of new words that is hardly anything."""
+    texts, sent = [r.text for r in real.collect() if r.text], []
+    enc = token_files.WordEncoder(BPE)
+
+    class Library:
+        def encode_batch_fast(self, parts, **how):
+            sent.extend(parts)
+            return token_files.encoder(BPE).library.encode_batch_fast(parts, **how)
+
+    enc.library = Library()
+    plain = [t for t in texts if token_files._plain(t)]
+    assert len(plain) > len(texts) / 2
+    want = [np.array(token_files.encoder(BPE).library.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in plain]
+    assert enc.encode(plain) == want
+    assert sum(map(len, sent)) < 0.05 * sum(map(len, {w for t in plain for w in t.split()}))
+
+
 def test_token_files(spark, real):
     enc = token_files.encoder(BPE)
     df = docs(spark, ODD).select("doc_id", "text").unionByName(real.select((F.col("doc_id") + 100).alias("doc_id"), "text")).unionByName(spark.createDataFrame([(None, "no id"), (3, "again")], "doc_id long, text string"))

@@ -14,6 +14,7 @@ themselves under names that no two attempts share; the manifest names those of t
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import uuid
@@ -30,7 +31,11 @@ from . import common
 
 #: Distinct words that one worker remembers; beyond, it starts anew. Bounds memory, never results.
 REMEMBERED = 900_000
-_ENDING = re.compile(r"(?s)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)\Z")
+#: What stands before a word (a line end, HEAD or a space that isn't there), its letters, and ASCII punctuation after them, without
+#: apostrophes ("'s" is a pre-token). Letters, with a space before them or not, are one pre-token, and so is the ending.
+_WORD = re.compile(r"([\x01\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: The character that byte-level pre-tokenization has for each byte, but for the line end, which parts the words here.
+_BYTES = "".join(chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(256 + b if b < 33 else 256 + 33 + b - 127 if b < 161 else 323) for b in range(256)).replace(chr(256 + 10), "\n")
 _ENCODERS: dict = common.remembered("encoders", {})
 
 
@@ -38,8 +43,9 @@ class WordEncoder:
     """Ids of whole texts from a byte-level BPE of the tokenizers library, word by word.
 
     Byte-level pre-tokenization never joins a character that isn't white space to the space after it, and so a text
-    cut before every single space between two such characters encodes as its parts do. Parts are looked up; those not
-    met before go to the library, many at a time. Texts with other white space in such places go to it whole.
+    cut before every single space between two such characters encodes as its parts do. Parts are looked up; of those not
+    met before, letters are a pre-token and go to the library's model as such, without the cost of telling pre-tokens
+    apart, and others to the library as texts, many at a time. Texts with other white space in such places go to it whole.
     """
 
     def __init__(self, path: str):
@@ -49,6 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         pre = json.loads(self.library.to_str())
@@ -61,12 +68,6 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """A word is cut before punctuation after plain letters."""
-        m = _ENDING.match(word)
-        return m.groups() if m else (word,)
-
     def _lines(self, parts: list[str]) -> list[bytes]:
         """Ids of single parts, encoded as one text of a line each: a lone line end between two characters that aren't
         white space is a token of its own."""
@@ -77,28 +78,57 @@ class WordEncoder:
         cut = np.flatnonzero(ids == self.line)
         if len(cut) != len(parts) - 1:
             return self._library(parts)
+        return self._cut(ids, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])
+
+    def _cut(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[bytes]:
         raw, width = ids.tobytes(), self.dtype.itemsize
-        ends = (cut * width).tolist()
-        return [raw[a:b] for a, b in zip([0, *(e + width for e in ends)], [*ends, len(raw)], strict=True)]
+        return [raw[a * width : b * width] for a, b in zip(begins, ends, strict=True)]
+
+    def _pretokens(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are a pre-token each, with the space before them that they have."""
+        tokenize, ids, ends = self.model.tokenize, [], []
+        for word in codecs.charmap_decode("\n".join(words).encode(), "strict", _BYTES)[0].split("\n"):
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        return self._cut(np.array(ids, self.dtype), [0, *ends[:-1]], ends)
 
     def _learn(self, words: list[str]) -> None:
         """Words not met before: put together from their certain parts, and the parts encoded, many at a time.
 
         A word is known by what it is and what stands before it: a space, a line end (its first character), or nothing (HEAD).
         """
-        known = self.known
-        split = {w: ("\n", *self._parts(w[1:])) if w[0] == "\n" else self._parts(w[1:]) if w[0] == HEAD else self._parts(" " + w) for w in words}
-        name = lambda p: p[1:] if p[0] == " " else p if p[0] == "\n" else HEAD + p
-        new = list({p for own in split.values() for p in own if p != "\n" and name(p) not in known})
-        plain = [p for p in new if p.strip() and "\n" not in p]
-        rest = list({*new}.difference(plain))
-        if rest:
-            known.update(zip(map(name, rest), self._library(rest), strict=True))
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            known.update(zip(map(name, some), self._lines(some), strict=True))
+        known, text = self.known, "\n".join(words)
+        special = [s for s in self.special if s in text]
+        stems, others = {}, {}
+        joined, names, tails = [], [], []
+        for w in words:
+            m = _WORD.match(w)
+            if m and not (special and any(s in w for s in special)):
+                before, stem, ending = m.groups()
+                name, tail = HEAD + stem if before else stem, HEAD + ending if ending else ""
+                if name not in known:
+                    stems[name] = stem if before else " " + stem
+                if tail and tail not in known:
+                    others[tail] = ending
+            elif w[0] == "\n":
+                name, tail = HEAD + w[1:], ""
+                if name not in known:
+                    others[name] = w[1:]
+            else:
+                name, tail = w, ""
+                others[w] = w[1:] if w[0] == HEAD else " " + w
+            if name != w:
+                joined.append(w)
+                names.append(name)
+                tails.append(tail)
+        for parts, encoded in ((stems, self._pretokens), (others, self._lines)):
+            own, some = list(parts), list(parts.values())
+            for at in range(0, len(some), 20_000):
+                known.update(zip(own[at : at + 20_000], encoded(some[at : at + 20_000]), strict=True))
         line = self.end_of_line
-        known.update((w, b"".join([line if p == "\n" else known[name(p)] for p in own])) for w, own in split.items() if len(own) > 1)
+        for w, name, tail in zip(joined, names, tails, strict=True):
+            ids = known[name] + known[tail] if tail else known[name]
+            known[w] = line + ids if w[0] == "\n" else ids
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids as bytes, one for each text. Words are told apart by Arrow's dictionaries; Python sees each distinct one once a call."""
@@ -115,11 +145,16 @@ class WordEncoder:
             distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self._learn([w for w in distinct if w not in self.known])
-            ids = list(map(self.known.__getitem__, distinct))
-            at, bounds = coded.indices.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
-            for k, i in enumerate(cut):
-                out[i] = b"".join(map(ids.__getitem__, at[bounds[k] : bounds[k + 1]]))
+            ids = list(map(self.known.get, distinct))
+            if new := [k for k, x in enumerate(ids) if x is None]:
+                self._learn([distinct[k] for k in new])
+                for k in new:
+                    ids[k] = self.known[distinct[k]]
+            taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+            at = np.frombuffer(taken.buffers()[1], "<i8")[lists.offsets.to_numpy()].tolist()
+            raw = memoryview(taken.buffers()[2] or b"")
+            for i, a, b in zip(cut, at[:-1], at[1:], strict=True):
+                out[i] = raw[a:b].tobytes()
         if whole:
             for i, ids in zip(whole, self._library([said[i] for i in whole]), strict=True):
                 out[i] = ids
@@ -191,8 +226,8 @@ def write(docs: DataFrame, uri: str, tokenizer: str, *, end_id: int = 0, id_col:
 def documents_of(uri: str, shard: dict):
     """(keys, null marks, global starts, ids of each document) of one shard, from memory maps; yields one tuple a document."""
     with common.mapped_file(f"{uri}/{shard['name']}.ids") as a, common.mapped_file(f"{uri}/{shard['name']}.off") as b, common.mapped_file(f"{uri}/{shard['name']}.key") as c, common.mapped_file(f"{uri}/{shard['name']}.nul") as d:
-        ids = np.memmap(a, f"<u{shard['width']}", "r")
-        off, key, nul = np.memmap(b, "<i8", "r"), np.memmap(c, "<i8", "r"), np.memmap(d, "u1", "r")
+        # plain arrays over the maps: a slice of a map costs several times a slice of an array
+        ids, off, key, nul = (np.asarray(np.memmap(f, kind, "r")) for f, kind in ((a, f"<u{shard['width']}"), (b, "<i8"), (c, "<i8"), (d, "u1")))
         for i in range(shard["n_docs"]):
             yield None if nul[i] else int(key[i]), shard["base"] + int(off[i]), ids[off[i] : off[i + 1]]
 
