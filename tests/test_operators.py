@@ -74,6 +74,23 @@ def test_linear_and_ridge(spark):
     assert np.allclose(ridge.coef[:3, 0], want)
 
 
+def test_linear_and_ridge_far_from_zero(spark):
+    """Means large beside what varies, units far apart, a column that is constant; and no rows at all."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(300, 2))
+    a, b = 1e9 + 100 * z[:, 0], 1e-6 * z[:, 1]
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "c": np.full(300, 0.1), "s": 3e8 + 2 * (a - 1e9) + 5e6 * b}))
+    ols = forecasts.fit_linear(df, ["a", "b", "c"], ["s"])
+    assert np.allclose(ols.coef[:3, 0], [2, 5e6, 0], rtol=1e-8, atol=0)
+    got = ols.predict(df).select("s", "s_hat").toPandas()
+    assert np.allclose(got.s, got.s_hat, rtol=0, atol=1e-5)
+    x = np.c_[a - a.mean(), b - b.mean()]
+    y = got.s.to_numpy() - got.s.mean()
+    ridge = forecasts.fit_ridge(df, ["a", "b"], ["s"], [2.0])
+    assert np.allclose(ridge.coef[:2, 0], np.linalg.solve(x.T @ x + 2 * np.eye(2), x.T @ y), rtol=1e-6)
+    assert not forecasts.fit_linear(df.limit(0), ["a", "b"], ["s"]).coef.any()
+
+
 def test_reconciliation_is_coherent():
     h = reconcile.Hierarchy({"s0": ["s1", "s2"], "s1": ["a", "b"], "s2": ["c", "d"]})
     rng = np.random.default_rng(1)

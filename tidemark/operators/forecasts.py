@@ -90,30 +90,39 @@ class Linear:
         return df.withColumns({t + suffix: sum((c * float(w) for c, w in zip(terms, self.coef[:, j], strict=True)), F.lit(0.0)) for j, t in enumerate(self.targets)})
 
 
-def gram(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """X'X, X'Y (X with a column of ones), Y'Y's diagonal and the rows: one aggregate with map-side sums."""
-    x = [*map(F.col, features), F.lit(1.0)]
-    y = [*map(F.col, targets)]
+def gram(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """X'X, X'Y and Y'Y's diagonal about the means, X's and Y's means, and the rows. One aggregate for the means, one for the sums of what is left of them, both
+    with map-side sums: sums of the values themselves would lose what varies where the means are large. The means' own rounding is taken out at the end."""
     rows = df.dropna(subset=[*features, *targets])
+    at = [v or 0.0 for v in rows.agg(*[F.avg(c) for c in [*features, *targets]]).first()]
+    left = [F.col(c) - F.lit(float(m)) for c, m in zip([*features, *targets], at, strict=True)]
+    x, y = left[: len(features)], left[len(features) :]
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    r = rows.agg(*[F.sum(x[i] * x[j]) for i, j in pairs], *[F.sum(a * b) for a in x for b in y], *[F.sum(b * b) for b in y], F.count("*")).first()
+    r = [v or 0.0 for v in rows.agg(*[F.sum(c) for c in left], *[F.sum(x[i] * x[j]) for i, j in pairs], *[F.sum(a * b) for a in x for b in y], *[F.sum(b * b) for b in y], F.count("*")).first()]
+    n = int(r[-1])
+    off, sums = np.array(r[: len(left)]) / max(n, 1), r[len(left) : -1]
     xx = np.zeros((len(x), len(x)))
-    for (i, j), v in zip(pairs, r, strict=False):
-        xx[i, j] = xx[j, i] = v or 0.0
-    rest = [v or 0.0 for v in r[len(pairs) :]]
-    return xx, np.array(rest[: len(x) * len(y)]).reshape(len(x), len(y)), np.array(rest[len(x) * len(y) : -1]), int(rest[-1])
+    for (i, j), v in zip(pairs, sums, strict=False):
+        xx[i, j] = xx[j, i] = v
+    rest = np.array(sums[len(pairs) :])
+    xy, yy = rest[: len(x) * len(y)].reshape(len(x), len(y)), rest[len(x) * len(y) :]
+    dx, dy = off[: len(x)], off[len(x) :]
+    means = np.array(at) + off
+    return xx - n * np.outer(dx, dx), xy - n * np.outer(dx, dy), yy - n * dy**2, means[: len(x)], means[len(x) :], n
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> Linear:
-    xx, xy, _, _ = gram(df, features, targets)
-    return Linear(list(features), list(targets), np.linalg.lstsq(xx, xy, rcond=1e-12)[0])
+    """Least squares on centred features, each in units of its own deviation; one that doesn't vary beyond its mean's rounding has no weight."""
+    xx, xy, _, mx, my, n = gram(df, features, targets)
+    left = np.diag(xx)
+    unit = np.where(left > n * (1e-14 * mx) ** 2, np.sqrt(np.maximum(left, 0)), np.inf)
+    w = np.linalg.lstsq(xx / unit[:, None] / unit, xy / unit[:, None], rcond=1e-12)[0] / unit[:, None]
+    return Linear(list(features), list(targets), np.vstack([w, my - mx @ w]))
 
 
 def fit_ridge(df: DataFrame, features: Sequence[str], targets: Sequence[str], alphas: Sequence[float] = tuple(10.0 ** np.linspace(-2, 8, 9))) -> Linear:
     """Ridge on centred data; the penalty is that of the least generalised cross-validation error, over all targets."""
-    xx, xy, yy, n = gram(df, features, targets)
-    mx, my = xx[-1, :-1] / max(n, 1), xy[-1] / max(n, 1)
-    a, b, c = xx[:-1, :-1] - n * np.outer(mx, mx), xy[:-1] - n * np.outer(mx, my), yy - n * my**2
+    a, b, c, mx, my, n = gram(df, features, targets)
     values, vectors = np.linalg.eigh(a)
     values, turned = np.maximum(values, 0), vectors.T @ b
     best = None
