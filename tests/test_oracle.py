@@ -48,7 +48,7 @@ def large_sales(where, copies=60):
     return con
 
 
-@pytest.mark.parametrize("name", ["hierarchy_models"])
+@pytest.mark.parametrize("name", ["hierarchy_models", "hierarchy_models_reconciled"])
 def test_models_of_large_sales_equal_sql(spark, tmp_path, name):
     duck = large_sales(tmp_path)
     got, want = core.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.execute(core.SQL[name]).df()
